@@ -36,3 +36,26 @@ def edge_after(literal: str) -> str:
     if literal and (literal[-1].isalnum() or literal[-1] == "_"):
         return RIGHT_EDGE
     return rf"(?={WORD})"
+
+
+def any_of(words: list[str]) -> str:
+    """Alternation of ``words`` with shared beginnings written once.
+
+    Java tries alternatives one by one, so a flat list of n words costs n
+    tries at every position; here a position is given up after a letter or two.
+    """
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for ch in word:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [quote(ch) + pattern(child) for ch, child in sorted(node.items()) if ch]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
+        return body + "?+" if "" in node else body
+
+    return pattern(tree)

@@ -3,46 +3,49 @@
 from __future__ import annotations
 
 import html.entities
+import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .charclass import INLINE_SPACE, LINE_BREAK, SPACE
 from .text import strip
 
 
 def _named_entities() -> Column:
-    pairs = [
-        (name[:-1], text)
-        for name, text in sorted(html.entities.html5.items())
+    """Map of entity names, from the standard table, as one constant."""
+    table = {
+        name[:-1]: text
+        for name, text in html.entities.html5.items()
         if name.endswith(";") and text != "&"
-    ]
-    return F.map_from_arrays(
-        F.lit([name for name, _ in pairs]), F.lit([text for _, text in pairs])
-    )
+    }
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
-def unescape(c: Column) -> Column:
-    """Named and numeric character references, each replaced once.
+_AMPERSAND = r"&(?:amp|AMP|#0*38|#[xX]0*26);"
+_CODE = r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+_NAME = r"&([A-Za-z][A-Za-z0-9]*);"
 
-    Only the references a row holds are looked up.  The ampersand itself goes
-    last, so that ``&amp;lt;`` becomes ``&lt;`` and not ``<``.
-    """
-    names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+
+def _replace_named(t: Column) -> Column:
+    names = F.array_except(
+        F.array_distinct(F.regexp_extract_all(t, F.lit(_NAME), F.lit(1))), F.array(F.lit("amp"), F.lit("AMP"))
+    )
     table = _named_entities()
-    named = F.aggregate(
+    return F.aggregate(
         names,
-        c,
+        t,
         lambda acc, name: F.coalesce(
             F.replace(acc, F.concat(F.lit("&"), name, F.lit(";")), F.try_element_at(table, name)), acc
         ),
     )
-    ampersand = r"&(?:amp|AMP|#0*38|#[xX]0*26);"
+
+
+def _replace_codes(t: Column) -> Column:
     codes = F.filter(
-        F.array_distinct(
-            F.regexp_extract_all(c, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0))
-        ),
-        lambda code: ~code.rlike(ampersand),
+        F.array_distinct(F.regexp_extract_all(t, F.lit(_CODE), F.lit(0))),
+        lambda code: ~code.rlike(_AMPERSAND),
     )
 
     def character(code: Column) -> Column:
@@ -50,11 +53,23 @@ def unescape(c: Column) -> Column:
         base16 = F.when(code.rlike("&#[xX]"), F.upper(digits)).otherwise(F.conv(digits, 10, 16))
         return F.decode(F.unhex(F.lpad(base16, 8, "0")), "UTF-32")
 
-    numeric = F.aggregate(
-        codes, named, lambda acc, code: F.replace(acc, code, character(code))
-    )
-    whole = F.regexp_replace(numeric, ampersand, "&")
-    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
+    return F.aggregate(codes, t, lambda acc, code: F.replace(acc, code, character(code)))
+
+
+def unescape(c: Column) -> Column:
+    """Named and numeric character references, each replaced once.
+
+    Only the references a row holds are looked up.  The ampersand itself goes
+    last, so that ``&amp;lt;`` becomes ``&lt;`` and not ``<``.
+    """
+
+    def all_of(t: Column) -> Column:
+        numeric = let(_replace_named(t), lambda u: F.when(F.contains(u, F.lit("&#")), _replace_codes(u)).otherwise(u))
+        return F.when(
+            F.contains(t, F.lit("&")), F.regexp_replace(numeric, _AMPERSAND, "&")
+        ).otherwise(t)
+
+    return let(c, all_of)
 
 
 def html_to_text(c: Column) -> Column:

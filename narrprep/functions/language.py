@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .charclass import LEFT_EDGE, RIGHT_EDGE
+from .charclass import LEFT_EDGE, RIGHT_EDGE, any_of
 from .text import word_count
 
 # Frequent words by which a language is recognised.
@@ -23,9 +23,14 @@ MIN_WORDS = 5
 MIN_RATIO = 0.05
 
 
-def marker_count(text: Column, words: list[str]) -> Column:
-    pattern = LEFT_EDGE + "(?:" + "|".join(words) + ")" + RIGHT_EDGE
-    return F.regexp_count(F.lower(text), F.lit(pattern))
+def marker_hits(text: Column, words: list[str]) -> Column:
+    """Array of the whole words of ``words`` in a text, in lower case."""
+    pattern = LEFT_EDGE + any_of(words) + RIGHT_EDGE
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
+
+
+def _one_of(words: list[str]):
+    return lambda w: w.isin(*words)
 
 
 def with_language(
@@ -37,9 +42,15 @@ def with_language(
 ) -> DataFrame:
     """Add the detected language; ``unknown`` when short, unclear or tied."""
     tables = markers or MARKERS
+    every = sorted({word for words in tables.values() for word in words})
     df = df.withColumn("n_words", word_count(F.col(text)))
-    for lang, words in tables.items():
-        df = df.withColumn(f"{lang}_hits", marker_count(F.col(text), words))
+    df = df.withColumn("__hits", marker_hits(F.col(text), every))
+    df = df.withColumns(
+        {
+            f"{lang}_hits": F.size(F.filter("__hits", _one_of(words)))
+            for lang, words in tables.items()
+        }
+    ).drop("__hits")
     result = F.lit("unknown")
     for lang in tables:
         ratio = F.try_divide(F.col(f"{lang}_hits"), F.col("n_words"))

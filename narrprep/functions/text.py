@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .charclass import LINE_SPACE, NON_SPACE, SPACE, WORD
 
 # Typographic ligatures and the letters they stand for.
@@ -42,10 +43,10 @@ def _replace_each(c: Column, table: dict[str, str]) -> Column:
 def strip(c: Column) -> Column:
     """Remove white space of every kind at both ends.
 
-    The possessive run with a look-behind is tried once per run of white
-    space, so long inner runs cost one scan.
+    Only the ends are looked at: the text between its first and its last
+    character that is not white space.
     """
-    return F.regexp_replace(c, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+    return F.regexp_extract(c, rf"(?s)\A{SPACE}*+({NON_SPACE}(?:.*{NON_SPACE})?)?", 1)
 
 
 def replace_ligatures(c: Column) -> Column:
@@ -56,15 +57,30 @@ def plain_characters(c: Column) -> Column:
     return _replace_each(c, PLAIN_CHARACTERS)
 
 
+def _where(c: Column, marks: list[str], change) -> Column:
+    """Apply ``change`` to texts that hold one of ``marks``.
+
+    A byte search is far cheaper than a pass of a regular expression, and
+    most texts hold none of the marks of most rules.
+    """
+
+    def guarded(t: Column) -> Column:
+        present = F.contains(t, F.lit(marks[0]))
+        for mark in marks[1:]:
+            present = present | F.contains(t, F.lit(mark))
+        return F.when(present, change(t)).otherwise(t)
+
+    return let(c, guarded)
+
+
 def rejoin_hyphenated(c: Column) -> Column:
     """Join a word cut by a hyphen at a line end, also across blank lines.
 
     The word behind the break is consumed, so of two cuts in a row
     (``a-⏎b-⏎c``) only the first is joined.
     """
-    return F.regexp_replace(
-        c, rf"(?<!{WORD})({WORD}++)-{SPACE}*\n{SPACE}*({WORD}++)", "$1$2"
-    )
+    cut = rf"(?<!{WORD})({WORD}++)-{SPACE}*\n{SPACE}*({WORD}++)"
+    return _where(c, ["-"], lambda t: F.regexp_replace(t, cut, "$1$2"))
 
 
 def drop_page_artifacts(c: Column) -> Column:
@@ -82,28 +98,29 @@ def drop_page_artifacts(c: Column) -> Column:
 
 def space_numbers(c: Column) -> Column:
     """Space after a currency sign; commas between the groups of a phone number."""
-    c = F.regexp_replace(c, r"([$€])(?=\p{Nd})", "$1 ")
-    return F.regexp_replace(
-        c, r"(\p{Nd}{3})-(\p{Nd}{3})-(\p{Nd}{4})", "$1, $2, $3"
-    )
+    c = _where(c, ["$", "€"], lambda t: F.regexp_replace(t, r"([$€])(?=\p{Nd})", "$1 "))
+    phone = r"(\p{Nd}{3})-(\p{Nd}{3})-(\p{Nd}{4})"
+    return _where(c, ["-"], lambda t: F.regexp_replace(t, phone, "$1, $2, $3"))
 
 
 def normalize_punctuation(c: Column) -> Column:
-    c = F.regexp_replace(c, r"\.{2,}", "...")
-    c = F.regexp_replace(c, r"!{2,}", "!")
-    c = F.regexp_replace(c, r"\?{2,}", "?")
+    c = _where(c, [".."], lambda t: F.regexp_replace(t, r"\.{2,}", "..."))
+    c = _where(c, ["!!"], lambda t: F.regexp_replace(t, r"!{2,}", "!"))
+    c = _where(c, ["??"], lambda t: F.regexp_replace(t, r"\?{2,}", "?"))
     c = F.regexp_replace(c, r"([.!?])(?=[A-Za-z])", "$1 ")
     # White space around a parenthesis, paragraph breaks included, is one space.
-    c = F.regexp_replace(c, rf"(?<!{SPACE}){SPACE}*+\({SPACE}*+", " (")
-    c = F.regexp_replace(c, rf"(?<!{SPACE}){SPACE}*+\){SPACE}*+", ") ")
+    opening = rf"(?<!{SPACE}){SPACE}*+\({SPACE}*+"
+    closing = rf"(?<!{SPACE}){SPACE}*+\){SPACE}*+"
+    c = _where(c, ["("], lambda t: F.regexp_replace(t, opening, " ("))
+    c = _where(c, [")"], lambda t: F.regexp_replace(t, closing, ") "))
     return F.replace(c, F.lit(";"), F.lit("."))
 
 
 def normalize_whitespace(c: Column) -> Column:
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    c = F.regexp_replace(c, r"(?<!\n)\n(?!\n)", " ")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
-    c = F.regexp_replace(c, r" ?\n\n ?", "\n\n")
+    c = _where(c, ["\n\n\n"], lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    c = _where(c, ["\n"], lambda t: F.regexp_replace(t, r"(?<!\n)\n(?!\n)", " "))
+    c = _where(c, ["  ", "\t"], lambda t: F.regexp_replace(t, r"[ \t]+", " "))
+    c = _where(c, [" \n\n", "\n\n "], lambda t: F.regexp_replace(t, r" ?\n\n ?", "\n\n"))
     return strip(c)
 
 
