@@ -107,3 +107,36 @@ def slices(items: Column, starts: Column) -> Column:
             (F.coalesce(F.try_element_at(starts, i + F.lit(2)), total + F.lit(1)) - s).cast("int"),
         ),
     )
+
+
+def last_start_at(positions: Column, starts: Column) -> Column:
+    """For every position the 1-based number of the last start at or before it, 0 for none.
+
+    Both arrays rise; they are merged and scanned once, so nothing is
+    compared pairwise.
+    """
+    done, tail = _empty()
+    marks = F.concat(
+        F.transform(
+            starts,
+            lambda s, i: F.struct(
+                s.cast("bigint").alias("at"), F.lit(0).alias("side"), (i + F.lit(1)).cast("bigint").alias("no")
+            ),
+        ),
+        F.transform(
+            positions,
+            lambda p, i: F.struct(p.cast("bigint").alias("at"), F.lit(1).alias("side"), i.cast("bigint").alias("no")),
+        ),
+    )
+
+    def step(acc: Column, mark: Column) -> Column:
+        is_start = mark["side"] == 0
+        new_done, new_tail = _append(acc, acc["cur"])
+        return F.struct(
+            F.when(is_start, mark["no"]).otherwise(acc["cur"]).alias("cur"),
+            F.when(is_start, acc["done"]).otherwise(new_done).alias("done"),
+            F.when(is_start, acc["tail"]).otherwise(new_tail).alias("tail"),
+        )
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("cur"), done, tail)
+    return F.aggregate(F.array_sort(marks), zero, step, _finish)

@@ -102,3 +102,12 @@ def content_fingerprint(c: Column) -> Column:
 
 def chunk_label(idx: Column) -> Column:
     return F.lpad(idx.cast("string"), 6, "0")
+
+
+def iso_utc(ts: Column) -> Column:
+    """Time as ISO text; sessions run in UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+
+
+def expired(until: Column) -> Column:
+    return F.current_timestamp() > until

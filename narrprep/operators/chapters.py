@@ -210,6 +210,34 @@ def select_chapters(chapters: DataFrame, requests: DataFrame, keys: Sequence[str
     return chapters.join(requests.select(*keys, "chapter_no").distinct(), [*keys, "chapter_no"], "left_semi")
 
 
+def selected_text(text: Column, wanted: Column, min_length: int = MIN_CHAPTER_LENGTH) -> Column:
+    """Text of the chapters whose numbers are in the array ``wanted``, joined by a blank line.
+
+    Null when none of them exists: a request for missing chapters is not a
+    request for the whole book.
+    """
+    found = F.filter(
+        chapter_array(text, min_length), lambda c, i: F.array_contains(wanted, (i + F.lit(1)).cast("int"))
+    )
+    return let(
+        found,
+        lambda cs: F.when(F.size(cs) > 0, F.array_join(F.transform(cs, lambda c: c["chapter_text"]), "\n\n")),
+    )
+
+
+def rebase_selected(chapters: DataFrame, keys: Sequence[str], block_chapters: int = 65_536) -> DataFrame:
+    """Spans of selected chapters within their joined text instead of the whole book."""
+    scanned = ordered_scan(
+        chapters, keys, ["chapter_no"], number_block("chapter_no", block_chapters),
+        sum_before={"__start": F.col("end_char") - F.col("start_char") + F.lit(2)},
+    )
+    return (
+        scanned.withColumn("end_char", F.col("__start") + F.col("end_char") - F.col("start_char"))
+        .withColumn("start_char", F.col("__start"))
+        .drop("__start")
+    )
+
+
 def chapter_by_number(chapters: DataFrame, number: int | Column) -> DataFrame:
     wanted = number if isinstance(number, Column) else F.lit(number)
     return chapters.filter(F.col("number") == wanted)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import base_name, suffix
 from .scan import ordered_scan, time_block
 from .sections import first_rows
 
@@ -172,3 +173,47 @@ def requested_chapters(jobs: DataFrame, keys: Sequence[str], column: str = "chap
 def progress_json(log: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Key and JSON value of every update, as a message sink takes them."""
     return log.select(F.col("job_id").cast("string").alias("key"), F.to_json(F.struct(*fields)).alias("value"))
+
+
+def new_jobs(requests: DataFrame) -> DataFrame:
+    """Pending jobs of requests (user_id, upload_key, created_at, chapters array, …).
+
+    The id is made from the request, so that a task that runs again makes the
+    same job.
+    """
+    name = base_name(F.col("upload_key"))
+    identity = F.concat_ws("|", F.col("user_id").cast("string"), "upload_key", F.col("created_at").cast("string"))
+    chapters = F.when(F.size("chapters") > 0, F.to_json("chapters"))
+    return requests.select(
+        F.substring(F.sha2(identity, 256), 1, 32).alias("job_id"),
+        "user_id",
+        F.lit("pending").alias("status"),
+        name.alias("input_filename"),
+        F.substr(suffix(name), F.lit(2)).alias("input_format"),
+        chapters.alias("chapters_to_convert"),
+        "created_at",
+    )
+
+
+def apply_updates(current: DataFrame, updates: DataFrame) -> DataFrame:
+    """Status after one update per job, with the reason where it was refused.
+
+    ``updates`` holds ``job_id`` and ``to_status``; jobs that are not known
+    are refused too.  A completed job is at 100 percent.
+    """
+    pair = F.concat_ws(">", "status", "to_status")
+    allowed = pair.isin([f"{a}>{b}" for a, b in TRANSITIONS])
+    reason = (
+        F.when(F.col("status").isNull(), "Job not found")
+        .when((F.col("to_status") == "cancelled") & ~can_cancel(F.col("status")),
+              F.concat(F.lit("Cannot cancel job with status: "), "status"))
+        .when(~allowed, F.concat(F.lit("Not allowed: "), pair))
+    )
+    joined = updates.join(current.select("job_id", "status"), "job_id", "left")
+    status = F.when(reason.isNull(), F.col("to_status")).otherwise(F.col("status"))
+    return joined.select(
+        "job_id",
+        status.alias("status"),
+        F.when(reason.isNull() & (F.col("to_status") == "completed"), F.lit(100.0)).alias("percent"),
+        reason.alias("refused"),
+    )

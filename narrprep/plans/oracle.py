@@ -370,7 +370,46 @@ from {BOOKS} b left join listing using (doc_id))"""
 _PATHS = """(select '/in/' || source || '/book' || doc_id ||
   case lang when 'en' then '.pdf' when 'fr' then '.EPUB' when 'de' then '.wav' else '' end as path from documents)"""
 
+_TOTAL_CLOCK = "printf('%02d:%02d:%02d', total_samples // 24000 // 3600, total_samples // 24000 % 3600 // 60, total_samples // 24000 % 60)"
+NARRATED = (
+    CLEANED.replace(DAMAGED, BOOKS).rstrip()
+    + f""", {heading_ctes('(select doc_id, clean as text from d)', 'doc_id')}, {span_ctes('doc_id')},
+{merge_ctes('(select doc_id, clean as text from d)').lstrip()},
+n0 as (select m.*, (select max(s.chapter_no) from spans s where s.doc_id = m.doc_id and s.start_char <= p.para_pos and p.para_pos < s.end_char) as chapter_no,
+   {samples(words('m.text'))} as n_samples from merged m join paras p on p.doc_id = m.doc_id and p.para_idx = m.para_idx),
+n1 as (select *, last_value(chapter_no ignore nulls) over (partition by doc_id order by chunk_idx rows between unbounded preceding and 1 preceding) as prev from n0),
+n2 as (select *, (chapter_no is not null and chapter_no is distinct from prev) as chapter_change from n1),
+n3 as (select *, case when chapter_change and prev is not null then 36000 else 0 end as cp, case when paragraph_break_after then 12000 else 0 end as pp from n2),
+n as (select *, coalesce(sum(cp + n_samples + pp) over (partition by doc_id order by chunk_idx rows between unbounded preceding and 1 preceding), 0)::bigint as marker_sample,
+   (sum(cp + n_samples + pp) over (partition by doc_id))::bigint as total_samples from n3)
+"""
+)
+
 ORACLE = {
+    "narration_summary": NARRATED
+    + f"""select d.doc_id, d.detected, (select count(*) from spans s where s.doc_id = d.doc_id) as n_chapters, n_chunks, total_samples, {_TOTAL_CLOCK} as duration
+from d join (select doc_id, count(*) as n_chunks, max(total_samples) as total_samples from n group by doc_id) t on t.doc_id = d.doc_id""",
+    "narration_chunks": NARRATED + "select doc_id, chunk_idx, text, para_idx, chapter_no, n_samples, marker_sample + cp as start_sample from n",
+    "narration_markers": NARRATED
+    + f"""select k.doc_id, k.marker_no::int as marker_no, k.chapter_no, s.title, {millis('marker_sample')} as start_ms, {millis('end_sample')} as end_ms
+from (select doc_id, chapter_no, marker_sample, row_number() over w as marker_no, coalesce(lead(marker_sample) over w, total_samples) as end_sample
+  from n where chapter_change window w as (partition by doc_id order by chunk_idx)) k join spans s on s.doc_id = k.doc_id and s.chapter_no = k.chapter_no""",
+    "chapter_select_text": DOC_SPANS
+    + f"""select l.doc_id, (select string_agg(substr(b.text, s.start_char + 1, s.end_char - s.start_char), chr(10) || chr(10) order by s.chapter_no)
+  from spans s where s.doc_id = l.doc_id and s.chapter_no in (l.quality + 1, l.toxic * 2 + 3)) as text from labels l join {BOOKS} b using (doc_id)""",
+    "chapter_rebase": DOC_SPANS
+    + """, w as (select s.doc_id, s.chapter_no, s.end_char - s.start_char as n from spans s join labels l on l.doc_id = s.doc_id and s.chapter_no > l.quality),
+x as (select *, coalesce(sum(n + 2) over (partition by doc_id order by chapter_no rows between unbounded preceding and 1 preceding), 0)::bigint as start_char from w)
+select doc_id, chapter_no, start_char, start_char + n as end_char from x""",
+    "job_create": f"""select user_id, 'pending' as status, 'book ' || job_id || '.EPUB' as input_filename, 'epub' as input_format,
+  replace(chapters_to_convert, ' ', '') as chapters_to_convert from {JOBS}""",
+    "job_updates": f"""with u as (select l_orderkey as job_id, case min(l_returnflag) when 'A' then 'cancelled' when 'N' then 'processing' else 'completed' end as to_status from lineitem group by 1),
+j as (select u.job_id, u.to_status, j.status, case when j.status is null then 'Job not found'
+  when to_status = 'cancelled' and j.status = 'completed' then 'Cannot cancel job with status: completed'
+  when (j.status, to_status) not in (('pending', 'processing'), ('pending', 'cancelled'), ('processing', 'completed'), ('processing', 'cancelled')) then 'Not allowed: ' || j.status || '>' || to_status end as refused
+  from u left join {JOBS} j on j.job_id = u.job_id)
+select job_id, case when refused is null then to_status else status end as status, case when refused is null and to_status = 'completed' then 100.0::double end as percent, refused from j""",
+    "update_times": "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') as updated_at from events",
     "detect_language": f"select doc_id, n_words, es_hits, en_hits, detected from {detected('documents')}",
     "language_confusion": f"select lang, detected, count(*) as n_docs from {detected('documents')} group by all",
     "clean_text": CLEANED + "select doc_id, detected, clean from d",

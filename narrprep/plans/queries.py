@@ -30,6 +30,7 @@ from ..sources.tables import html_sections, read_table, with_metadata
 from ..streaming import prepare as P
 from ..streaming import progress as G
 from . import inputs as X
+from . import narrate as NP
 
 QUERIES = {}
 
@@ -205,6 +206,23 @@ def chapter_select(spark, sf) -> DataFrame:
     return C.select_chapters(found, requests, ["doc_id"]).select("doc_id", "chapter_no", "title", "start_char")
 
 
+@query
+def chapter_select_text(spark, sf) -> DataFrame:
+    wanted = X.labels(spark, sf).select(
+        "doc_id", F.array(F.col("quality") + 1, F.col("toxic") * 2 + 3).cast("array<int>").alias("wanted")
+    )
+    return X.books(spark, sf).join(wanted, "doc_id").select(
+        "doc_id", C.selected_text(F.col("text"), F.col("wanted")).alias("text")
+    )
+
+
+@query
+def chapter_rebase(spark, sf) -> DataFrame:
+    found = C.document_chapters(X.books(spark, sf), ["doc_id"], keep_text=False)
+    later = found.join(X.labels(spark, sf), "doc_id").filter(F.col("chapter_no") > F.col("quality"))
+    return C.rebase_selected(later, ["doc_id"]).select("doc_id", "chapter_no", "start_char", "end_char")
+
+
 @query
 def chapter_by_number(spark, sf) -> DataFrame:
     found = C.document_chapters(X.books(spark, sf), ["doc_id"], keep_text=False)
@@ -415,6 +433,24 @@ def document_totals(spark, sf) -> DataFrame:
     )
 
 
+# --- whole plan ------------------------------------------------------------
+
+
+@query
+def narration_summary(spark, sf) -> DataFrame:
+    return NP.narration_summary(NP.narrate(X.books(spark, sf)))
+
+
+@query
+def narration_chunks(spark, sf) -> DataFrame:
+    return NP.narration_chunks(NP.narrate(X.books(spark, sf)))
+
+
+@query
+def narration_markers(spark, sf) -> DataFrame:
+    return NP.narration_markers(NP.narrate(X.books(spark, sf)))
+
+
 # --- scalar functions ------------------------------------------------------
 
 
@@ -630,6 +666,31 @@ def requested_chapters(spark, sf) -> DataFrame:
     return J.requested_chapters(X.jobs(spark, sf), ["job_id"])
 
 
+@query
+def job_create(spark, sf) -> DataFrame:
+    requests = X.jobs(spark, sf).select(
+        "user_id",
+        F.concat(F.lit("uploads/"), F.col("user_id").cast("string"), F.lit("/book "), F.col("job_id").cast("string"), F.lit(".EPUB")).alias("upload_key"),
+        "created_at",
+        F.coalesce(F.from_json("chapters_to_convert", "array<int>"), F.array().cast("array<int>")).alias("chapters"),
+    )
+    return J.new_jobs(requests).drop("job_id", "created_at")
+
+
+@query
+def job_updates(spark, sf) -> DataFrame:
+    flag = F.min("l_returnflag")
+    updates = read_table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(
+        F.when(flag == "A", "cancelled").when(flag == "N", "processing").otherwise("completed").alias("to_status")
+    )
+    return J.apply_updates(X.jobs(spark, sf), updates)
+
+
+@query
+def update_times(spark, sf) -> DataFrame:
+    return X.job_log(spark, sf).select("event_id", N.iso_utc(F.col("ts")).alias("updated_at"))
+
+
 @query
 def job_owners(spark, sf) -> DataFrame:
     owners = read_table(spark, sf, "customer").select(
