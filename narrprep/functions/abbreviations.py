@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .charclass import edge_after, edge_before, quote
+from .charclass import whole
 
 # English abbreviations and their spoken form.
 ENGLISH = {
@@ -111,7 +111,7 @@ def rule_array(rules: list[tuple[str, str]], whole_word: bool) -> Column:
     rows = [
         {
             "key": key,
-            "pattern": edge_before(key) + quote(key) + (edge_after(key) if whole_word else ""),
+            "pattern": whole(key, right=whole_word),
             "replacement": replacement,
         }
         for key, replacement in rules

@@ -24,18 +24,17 @@ def quote(literal: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and ord(ch) < 128 else ch for ch in literal)
 
 
-def edge_before(literal: str) -> str:
-    """Word boundary in front of ``literal``, which may start with any character."""
-    if literal and (literal[0].isalnum() or literal[0] == "_"):
-        return LEFT_EDGE
-    return rf"(?<={WORD})"
-
-
-def edge_after(literal: str) -> str:
-    """Word boundary behind ``literal``, which may end with any character."""
-    if literal and (literal[-1].isalnum() or literal[-1] == "_"):
-        return RIGHT_EDGE
-    return rf"(?={WORD})"
+def whole(literal: str, right: bool = True) -> str:
+    """Pattern of ``literal`` between word boundaries (left only without ``right``).
+
+    The literal stands first and the boundary looks back over it: a search
+    for a fixed text is much faster than a look-behind at every character.
+    """
+    text = quote(literal)
+    word = [bool(literal) and (literal[i].isalnum() or literal[i] == "_") for i in (0, -1)]
+    before = rf"(?<!{WORD}{text})" if word[0] else rf"(?<={WORD}{text})"
+    after = (RIGHT_EDGE if word[1] else rf"(?={WORD})") if right else ""
+    return text + before + after
 
 
 def any_of(words: list[str]) -> str:

@@ -109,8 +109,9 @@ def normalize_punctuation(c: Column) -> Column:
     c = _where(c, ["??"], lambda t: F.regexp_replace(t, r"\?{2,}", "?"))
     c = F.regexp_replace(c, r"([.!?])(?=[A-Za-z])", "$1 ")
     # White space around a parenthesis, paragraph breaks included, is one space.
-    opening = rf"(?<!{SPACE}){SPACE}*+\({SPACE}*+"
-    closing = rf"(?<!{SPACE}){SPACE}*+\){SPACE}*+"
+    run = rf"{SPACE}(?<!{SPACE}{SPACE}){SPACE}*+"
+    opening = rf"{run}\({SPACE}*+|\({SPACE}*+"
+    closing = rf"{run}\){SPACE}*+|\){SPACE}*+"
     c = _where(c, ["("], lambda t: F.regexp_replace(t, opening, " ("))
     c = _where(c, [")"], lambda t: F.regexp_replace(t, closing, ") "))
     return F.replace(c, F.lit(";"), F.lit("."))
@@ -118,7 +119,7 @@ def normalize_punctuation(c: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     c = _where(c, ["\n\n\n"], lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
-    c = _where(c, ["\n"], lambda t: F.regexp_replace(t, r"(?<!\n)\n(?!\n)", " "))
+    c = _where(c, ["\n"], lambda t: F.regexp_replace(t, r"\n(?<!\n\n)(?!\n)", " "))
     c = _where(c, ["  ", "\t"], lambda t: F.regexp_replace(t, r"[ \t]+", " "))
     c = _where(c, [" \n\n", "\n\n "], lambda t: F.regexp_replace(t, r" ?\n\n ?", "\n\n"))
     return strip(c)

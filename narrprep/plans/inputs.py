@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import content_fingerprint, settings_fingerprint
 from ..functions.packing import paragraphs, sentences
 from ..operators.timeline import with_durations
-from ..sources.tables import read_table
+from ..sources.tables import read_table, read_texts
 
 # Text put in front of and behind every document for the cleaning queries.
 DAMAGE_HEAD = (
@@ -51,7 +51,7 @@ STATUS_OF = {
 
 
 def documents(spark, sf) -> DataFrame:
-    return read_table(spark, sf, "documents")
+    return read_texts(spark, sf, "documents")
 
 
 def damaged(spark, sf) -> DataFrame:

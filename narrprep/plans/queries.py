@@ -26,7 +26,7 @@ from ..operators.scan import number_block
 from ..operators.scoring import paced_model, score_chunks
 from ..sources.files import with_format
 from ..sources.sinks import chapter_listing, export_text, listing_line, stage
-from ..sources.tables import html_sections, read_table, with_metadata
+from ..sources.tables import html_sections, read_table, read_texts, with_metadata
 from ..streaming import prepare as P
 from ..streaming import progress as G
 from . import inputs as X
@@ -121,12 +121,12 @@ def rules_merge(spark, sf) -> DataFrame:
 
 @query
 def html_text(spark, sf) -> DataFrame:
-    return html_sections(read_table(spark, sf, "pages")).select("page_id", "text")
+    return html_sections(read_texts(spark, sf, "pages")).select("page_id", "text")
 
 
 @query
 def page_metadata(spark, sf) -> DataFrame:
-    return with_metadata(read_table(spark, sf, "pages")).select(
+    return with_metadata(read_texts(spark, sf, "pages")).select(
         "page_id", F.col("metadata.title").alias("title"), F.col("metadata.author").alias("author"),
         F.col("metadata.page_count").cast("bigint").alias("page_count"),
     )
@@ -135,7 +135,7 @@ def page_metadata(spark, sf) -> DataFrame:
 @query
 def site_sections(spark, sf) -> DataFrame:
     """Pages as sections of the site they belong to, with their offsets."""
-    pages = read_table(spark, sf, "pages").select(
+    pages = read_texts(spark, sf, "pages").select(
         F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"),
         F.col("page_id").alias("section_num"),
         html_to_text(F.col("html")).alias("text"),
@@ -283,7 +283,7 @@ def toc_flatten(spark, sf) -> DataFrame:
 
 @query
 def toc_href_join(spark, sf) -> DataFrame:
-    pages = read_table(spark, sf, "pages").select(
+    pages = read_texts(spark, sf, "pages").select(
         F.regexp_extract("url", r"example\.([a-z]+)", 1).alias("site"),
         F.col("page_id").alias("section_num"),
         F.regexp_extract("url", r"^[^?#]*", 0).alias("href"),
@@ -491,7 +491,7 @@ def filename_labels(spark, sf) -> DataFrame:
 @query
 def url_parts(spark, sf) -> DataFrame:
     plain = T.without_fragment(F.split("url", r"\?")[0])
-    return read_table(spark, sf, "pages").select(
+    return read_texts(spark, sf, "pages").select(
         "page_id",
         T.base_name(plain).alias("name"),
         T.stem(plain).alias("stem"),

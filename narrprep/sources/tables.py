@@ -12,6 +12,23 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where the scan has too few splits to balance itself.
+
+    Text work is bound by the processor, and a split holds rows only where a
+    row group starts, so a small table may run in one task.  A scan of two or
+    more splits per core is left as it is: a large corpus is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(2 * cores)
+
+
+def read_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spread(read_table(spark, folder, name))
+
+
 def html_sections(pages: DataFrame, html: str = "html") -> DataFrame:
     """Markup pages as text sections."""
     return pages.withColumn("text", html_to_text(F.col(html))).drop(html)
