@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import (
@@ -17,7 +17,7 @@ from ..functions.numbers import (
     spoken_samples,
 )
 from ..functions.text import word_count
-from .scan import number_block, ordered_scan
+from .scan import BLOCK, number_block, ordered_scan
 
 BLOCK_ROWS = 65_536
 
@@ -29,19 +29,6 @@ def with_durations(chunks: DataFrame, text: str = "text", speed: float | Column
     )
 
 
-def chapter_changes(
-    chunks: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column
-) -> DataFrame:
-    """Whether a chunk opens a chapter: its chapter differs from the last known one."""
-    scanned = ordered_scan(
-        chunks, keys, order, block, last_before={"previous_chapter": F.col("chapter_no")}
-    )
-    return scanned.withColumn(
-        "chapter_change",
-        F.col("chapter_no").isNotNull() & ~F.col("chapter_no").eqNullSafe(F.col("previous_chapter")),
-    )
-
-
 def timeline(
     chunks: DataFrame,
     keys: Sequence[str],
@@ -52,32 +39,84 @@ def timeline(
 ) -> DataFrame:
     """Start of every chunk: all earlier samples and pauses, plus its own chapter pause.
 
-    Needs ``n_samples``, ``chapter_no`` and ``paragraph_break_after``; the
+    Needs ``n_samples``, ``chapter_no`` and ``paragraph_break_after``.  A chunk
+    opens a chapter when its chapter differs from the last known one; the
     first chapter has no pause before it.  Only narrow columns should be
     passed in; join texts back by key.
+
+    Two things run along a book here, the known chapter and the time, and the
+    second needs the first.  Both are summarised per block in one pass: inside
+    a block only the pause of its first chapter is open, and that is settled
+    on the block summaries.
     """
     block = number_block(order[-1], BLOCK_ROWS) if block is None else block
-    changed = chapter_changes(chunks, keys, order, block).withColumns(
-        {
-            "chapter_pause": F.when(
-                F.col("chapter_change") & F.col("previous_chapter").isNotNull(),
-                F.lit(silence_samples(chapter_pause)),
-            ).otherwise(F.lit(0)).cast("bigint"),
-            "paragraph_pause": F.when(
-                F.col("paragraph_break_after"), F.lit(silence_samples(paragraph_pause))
-            ).otherwise(F.lit(0)).cast("bigint"),
-        }
+    keys, order = list(keys), list(order)
+    chapter = F.col("chapter_no")
+    inside = Window.partitionBy(*keys, BLOCK)
+    earlier = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    chapter_gap = F.lit(silence_samples(chapter_pause)).cast("bigint")
+
+    def gap(now: Column, known: Column) -> Column:
+        return F.when(now.isNotNull() & known.isNotNull() & (now != known), chapter_gap).otherwise(
+            F.lit(0).cast("bigint")
+        )
+
+    rows = (
+        chunks.withColumn(BLOCK, block)
+        .withColumn(
+            "paragraph_pause",
+            F.when(F.col("paragraph_break_after"), F.lit(silence_samples(paragraph_pause)))
+            .otherwise(F.lit(0))
+            .cast("bigint"),
+        )
+        .withColumn("__seen", F.last(chapter, ignorenulls=True).over(earlier))
     )
-    span = F.col("chapter_pause") + F.col("n_samples") + F.col("paragraph_pause")
-    return (
-        ordered_scan(
-            changed, keys, order, block,
-            sum_before={"marker_sample": span, "chunk_no": F.lit(1)},
-            group_sum={"total_samples": span, "total_chunks": F.lit(1)},
+    sound = F.col("n_samples") + F.col("paragraph_pause")
+
+    position = F.when(chapter.isNotNull(), F.struct(*order))
+    blocks = rows.groupBy(*keys, BLOCK).agg(
+        F.sum(sound + gap(chapter, F.col("__seen"))).alias("__span"),
+        F.count(F.lit(1)).alias("__rows"),
+        F.min_by(chapter, position).alias("__first"),
+        F.max_by(chapter, position).alias("__last"),
+    )
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carries = (
+        blocks.withColumn("__known", F.last("__last", ignorenulls=True).over(before))
+        .withColumn("__span", F.col("__span") + gap(F.col("__first"), F.col("__known")))
+        .select(
+            *keys,
+            BLOCK,
+            "__known",
+            F.coalesce(F.sum("__span").over(before), F.lit(0)).alias("__samples_before"),
+            F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows_before"),
+            F.sum("__span").over(whole).alias("total_samples"),
+            F.sum("__rows").over(whole).alias("total_chunks"),
         )
-        .withColumn("start_sample", F.col("marker_sample") + F.col("chapter_pause"))
-        .withColumn("percent", F.col("chunk_no") / F.col("total_chunks") * F.lit(100.0))
-        .drop("previous_chapter")
+    )
+
+    known = F.coalesce("__seen", "__known")
+    placed = (
+        rows.join(carries, [*keys, BLOCK])
+        .withColumn("chapter_change", chapter.isNotNull() & ~chapter.eqNullSafe(known))
+        .withColumn("chapter_pause", gap(chapter, known))
+    )
+    span = F.col("chapter_pause") + sound
+    return placed.select(
+        *chunks.columns,
+        "chapter_change",
+        "chapter_pause",
+        "paragraph_pause",
+        (F.coalesce(F.sum(span).over(earlier), F.lit(0)) + F.col("__samples_before")).alias("marker_sample"),
+        (F.count(F.lit(1)).over(earlier) + F.col("__rows_before")).alias("chunk_no"),
+        "total_samples",
+        "total_chunks",
+    ).withColumns(
+        {
+            "start_sample": F.col("marker_sample") + F.col("chapter_pause"),
+            "percent": F.col("chunk_no") / F.col("total_chunks") * F.lit(100.0),
+        }
     )
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import content_fingerprint, settings_fingerprint
+from ..functions.numbers import content_fingerprint, settings_fingerprint, spoken_samples
 from ..functions.packing import paragraphs, sentences
+from ..functions.text import word_count
 from ..operators.timeline import with_durations
+from ..sources.sinks import stage
 from ..sources.tables import read_table, read_texts
 
 # Text put in front of and behind every document for the cleaning queries.
@@ -81,6 +83,19 @@ def books(spark, sf) -> DataFrame:
     )
 
 
+def section_lengths(spark, sf) -> DataFrame:
+    """Length and spoken samples of every document, from one pass over the texts."""
+    return stage(
+        documents(spark, sf).select(
+            "source",
+            "doc_id",
+            F.length("text").cast("bigint").alias("n_chars"),
+            spoken_samples(word_count(F.col("text"))).alias("n_samples"),
+        ),
+        "lengths",
+    )
+
+
 def source_sections(spark, sf) -> DataFrame:
     """Documents as numbered sections of the book that is their source."""
     return documents(spark, sf).select(

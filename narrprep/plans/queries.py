@@ -138,14 +138,14 @@ def site_sections(spark, sf) -> DataFrame:
     pages = read_texts(spark, sf, "pages").select(
         F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"),
         F.col("page_id").alias("section_num"),
-        html_to_text(F.col("html")).alias("text"),
+        F.length(html_to_text(F.col("html"))).alias("n"),
     )
-    return S.section_offsets(pages, ["host"], "section_num", F.length("text"), block_rows=256)
+    return S.section_offsets(stage(pages, "site-lengths"), ["host"], "section_num", F.col("n"), block_rows=256)
 
 
 @query
 def section_offsets(spark, sf) -> DataFrame:
-    return S.section_offsets(X.documents(spark, sf), ["source"], "doc_id", F.length("text"), block_rows=256)
+    return S.section_offsets(X.section_lengths(spark, sf), ["source"], "doc_id", F.col("n_chars"), block_rows=256)
 
 
 @query
@@ -177,18 +177,30 @@ def chapter_text(spark, sf) -> DataFrame:
 
 
 def _source_headings(spark, sf) -> DataFrame:
-    sections = X.source_sections(spark, sf)
-    offsets = S.section_offsets(sections, ["source"], "section_num", F.length("text"), block_rows=256)
-    found = C.headings(sections, ["source", "section_num"]).drop("text_chars")
-    totals = sections.groupBy("source").agg(
-        (F.sum(F.length("text") + 2) - 2).cast("bigint").alias("text_chars")
-    )
-    return (
-        found.join(offsets, ["source", "section_num"])
-        .withColumn("start_char", F.col("start_char") + F.col("char_offset"))
-        .drop("char_offset", "n_chars")
+    """Headings of the source books with starts in the whole book; one pass over the texts."""
+    sections = X.source_sections(spark, sf).select(
+        "source",
+        "section_num",
+        F.length("text").alias("n"),
+        C.heading_array(F.col("text")).alias("found"),
+    )
+    sections = stage(sections, "section-headings")
+    offsets = S.section_offsets(sections, ["source"], "section_num", F.col("n"), block_rows=256)
+    totals = sections.groupBy("source").agg((F.sum(F.col("n") + 2) - 2).cast("bigint").alias("text_chars"))
+    placed = (
+        sections.select("source", "section_num", F.explode("found").alias("h"))
+        .join(offsets, ["source", "section_num"])
         .join(totals, "source")
+        .select(
+            "source",
+            "section_num",
+            (F.col("h.start_char") + F.col("char_offset")).alias("start_char"),
+            "h.title",
+            "h.number",
+            "text_chars",
+        )
     )
+    return stage(placed, "book-headings")
 
 
 @query
@@ -250,7 +262,7 @@ def paragraph_chapter(spark, sf) -> DataFrame:
         "doc_id", "para_idx", F.col("z.pos").alias("para_pos")
     )
     found = C.document_chapters(books, ["doc_id"], keep_text=False)
-    return C.assign_chapters(rows, found, ["doc_id"], "para_pos")
+    return C.assign_chapters(stage(rows, "paragraphs"), stage(found, "chapters"), ["doc_id"], "para_pos")
 
 
 @query
@@ -264,7 +276,8 @@ def toc_offsets(spark, sf) -> DataFrame:
         (F.col("doc_id") + F.col("quality") * 3 - 2).alias("section_num"),
     )
     top = C.top_entries(O.valid_entries(toc), ["source"])
-    offsets = S.section_offsets(docs, ["source"], "doc_id", F.length("text"), block_rows=256)
+    lengths = X.section_lengths(spark, sf)
+    offsets = S.section_offsets(lengths, ["source"], "doc_id", F.col("n_chars"), block_rows=256)
     return C.toc_starts(top, offsets.withColumnRenamed("doc_id", "section_num"), ["source"], block_sections=256)
 
 
@@ -368,15 +381,21 @@ def timeline(spark, sf) -> DataFrame:
     )
 
 
+def _book_markers(spark, sf) -> DataFrame:
+    lines = stage(_book_timeline(spark, sf).filter("chapter_change"), "book-openings")
+    return L.chapter_markers(lines, ["source"], BOOK_ORDER, number_block("doc_id", 64))
+
+
 @query
 def chapter_markers(spark, sf) -> DataFrame:
-    return L.chapter_markers(_book_timeline(spark, sf), ["source"], BOOK_ORDER, number_block("doc_id", 64))
+    return _book_markers(spark, sf)
 
 
 @query
 def marker_metadata(spark, sf) -> DataFrame:
-    marks = L.chapter_markers(_book_timeline(spark, sf), ["source"], BOOK_ORDER, number_block("doc_id", 64))
-    titled = marks.withColumn("title", F.concat(F.lit("Chapter "), F.col("chapter_no").cast("string")))
+    titled = _book_markers(spark, sf).withColumn(
+        "title", F.concat(F.lit("Chapter "), F.col("chapter_no").cast("string"))
+    )
     return L.marker_metadata(titled, ["source"], block_markers=16)
 
 
@@ -387,13 +406,13 @@ def duration_by_source(spark, sf) -> DataFrame:
 
 @query
 def proportional_markers(spark, sf) -> DataFrame:
-    docs = X.documents(spark, sf)
-    starts = S.section_offsets(docs, ["source"], "doc_id", F.length("text"), block_rows=256).select(
+    lengths = X.section_lengths(spark, sf)
+    starts = S.section_offsets(lengths, ["source"], "doc_id", F.col("n_chars"), block_rows=256).select(
         "source", F.col("doc_id").alias("chapter_no"), F.col("char_offset").alias("start_char")
     )
-    totals = docs.groupBy("source").agg(
-        (F.sum(F.length("text") + 2) - 2).cast("bigint").alias("total_chars"),
-        F.sum(N.spoken_samples(T.word_count(F.col("text")))).alias("total_samples"),
+    totals = lengths.groupBy("source").agg(
+        (F.sum(F.col("n_chars") + 2) - 2).cast("bigint").alias("total_chars"),
+        F.sum("n_samples").alias("total_samples"),
     )
     return L.proportional_markers(starts, totals, ["source"], block_chapters=256).select(
         "source", "chapter_no", "start_sample"
