@@ -9,9 +9,9 @@ appended to a short tail that is moved to an outer list when it is full.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TAIL = 512
@@ -22,6 +22,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def explode_column(df: DataFrame, keep: Sequence[str], array: Column | str, pos: str, item: str) -> DataFrame:
+    """``posexplode`` of an array column that was expensive to make.
+
+    For a plain ``posexplode`` of a column the optimizer adds the filter
+    ``size(column) > 0`` and moves it down with the whole expression behind
+    the column, which is then computed twice, and below a repartition.  The
+    outer form gets no such filter.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, item))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def _append(acc: Column, item: Column) -> tuple[Column, Column]:
     full = F.size(acc["tail"]) >= TAIL
     done = F.when(full, F.concat(acc["done"], F.array(acc["tail"]))).otherwise(acc["done"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, strip, without_fragment
+from ..session import stage
 
 
 def valid_entries(toc: DataFrame) -> DataFrame:
@@ -21,7 +22,9 @@ def flatten_toc(entries: DataFrame, keys: Sequence[str], max_levels: int | None
     """Depth-first level and path of a tree given as (entry_id, parent_id, ord).
 
     One join per level; the loop ends at the first level without entries.
-    ``path`` sorts entries of a book in depth-first order.
+    Every level is written to the shared folder, so a level is joined once and
+    a lost executor costs a read.  ``path`` sorts entries of a book in
+    depth-first order.
     """
     keys = list(keys)
     rank = F.lpad(F.col("ord").cast("string"), 12, "0")
@@ -36,11 +39,12 @@ def flatten_toc(entries: DataFrame, keys: Sequence[str], max_levels: int | None
             (F.col("level") + 1).alias("level"),
             F.col("path").alias("__up"),
         )
-        frontier = (
+        children = (
             entries.join(parents, [*keys, "parent_id"])
             .withColumn("path", F.concat_ws(".", "__up", rank))
             .drop("__up")
         )
+        frontier = stage(children, "toc-level")
         if frontier.isEmpty():
             break
         levels.append(frontier)

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_column
 from ..functions.numbers import content_fingerprint, settings_fingerprint, spoken_samples
 from ..functions.packing import paragraphs, sentences
 from ..functions.text import word_count
 from ..operators.timeline import with_durations
-from ..sources.sinks import stage
+from ..session import stage
 from ..sources.tables import read_table, read_texts
 
 # Text put in front of and behind every document for the cleaning queries.
@@ -118,14 +119,13 @@ def book_chunks(spark, sf) -> DataFrame:
         F.when(F.col("lang") != "de", F.col("doc_id")).alias("chapter_no"),
         paragraphs(F.col("text")).alias("paras"),
     )
-    rows = paras.select(
-        "source", "doc_id", "chapter_no", F.size("paras").alias("n_paras"),
-        F.posexplode("paras").alias("para_idx", "p"),
-    ).select(
-        "source", "doc_id", "chapter_no", "n_paras", "para_idx", sentences(F.col("p")).alias("sents")
-    ).select(
-        "source", "doc_id", "chapter_no", "n_paras", "para_idx", F.size("sents").alias("n_sents"),
-        F.posexplode("sents").alias("sent_idx", "text"),
+    by_para = explode_column(
+        paras.withColumn("n_paras", F.size("paras")),
+        ["source", "doc_id", "chapter_no", "n_paras"], "paras", "para_idx", "p",
+    ).withColumn("sents", sentences(F.col("p")))
+    rows = explode_column(
+        by_para.withColumn("n_sents", F.size("sents")),
+        ["source", "doc_id", "chapter_no", "n_paras", "para_idx", "n_sents"], "sents", "sent_idx", "text",
     )
     breaks = (F.col("sent_idx") == F.col("n_sents") - 1) & (F.col("para_idx") < F.col("n_paras") - 1)
     return with_durations(rows).select(

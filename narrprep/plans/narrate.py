@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import last_start_at, let, running_offsets
+from ..functions.arrays import explode_column, last_start_at, let, running_offsets
 from ..functions.numbers import (
     CHAPTER_PAUSE,
     PARAGRAPH_PAUSE,
@@ -121,7 +121,7 @@ def narrate(
 
 def narration_chunks(narrated: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     fields = ["text", "para_idx", "chapter_no", "n_samples", "start_sample"]
-    return narrated.select(*keys, F.posexplode("narration.chunks").alias("chunk_idx", "c")).select(
+    return explode_column(narrated, keys, "narration.chunks", "chunk_idx", "c").select(
         *keys, "chunk_idx", *[F.col(f"c.{f}") for f in fields]
     )
 
@@ -144,7 +144,7 @@ def narration_markers(narrated: DataFrame, keys: Sequence[str] = ("doc_id",)) ->
 
         return let(opened, lambda o: F.transform(o, lambda m, i: one(o, m, i)))
 
-    return narrated.select(*keys, F.posexplode(let(F.col("narration"), marks)).alias("i", "m")).select(
+    return explode_column(narrated, keys, let(F.col("narration"), marks), "i", "m").select(
         *keys, (F.col("i") + 1).cast("int").alias("marker_no"), "m.chapter_no", "m.title", "m.start_ms", "m.end_ms"
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..functions.arrays import let, running_offsets
+from ..functions.arrays import explode_column, let, running_offsets
 from ..functions.abbreviations import expand_abbreviations
 from ..functions.html import html_to_text
 from ..functions.language import with_language
@@ -23,9 +23,10 @@ from ..operators import toc as O
 from ..operators import voices as V
 from ..operators.clean import clean_documents
 from ..operators.scan import number_block
+from ..session import stage
 from ..operators.scoring import paced_model, score_chunks
 from ..sources.files import with_format
-from ..sources.sinks import chapter_listing, export_text, listing_line, stage
+from ..sources.sinks import chapter_listing, export_text, listing_line
 from ..sources.tables import html_sections, read_table, read_texts, with_metadata
 from ..streaming import prepare as P
 from ..streaming import progress as G
@@ -188,7 +189,7 @@ def _source_headings(spark, sf) -> DataFrame:
     offsets = S.section_offsets(sections, ["source"], "section_num", F.col("n"), block_rows=256)
     totals = sections.groupBy("source").agg((F.sum(F.col("n") + 2) - 2).cast("bigint").alias("text_chars"))
     placed = (
-        sections.select("source", "section_num", F.explode("found").alias("h"))
+        explode_column(sections, ["source", "section_num"], "found", "i", "h")
         .join(offsets, ["source", "section_num"])
         .join(totals, "source")
         .select(
@@ -715,9 +716,10 @@ def job_owners(spark, sf) -> DataFrame:
     owners = read_table(spark, sf, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_name").alias("owner")
     )
-    return X.jobs(spark, sf).join(owners, "user_id").groupBy("user_id", "owner").agg(
+    counts = X.jobs(spark, sf).groupBy("user_id").agg(
         F.count("*").alias("n_jobs"), F.count_if(F.col("status") == "completed").alias("n_completed")
     )
+    return counts.join(owners, "user_id").select("user_id", "owner", "n_jobs", "n_completed")
 
 
 @query

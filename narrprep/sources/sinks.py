@@ -8,23 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.incremental import bucket_of
-from ..session import work_folder
 
 RULER = "=" * 60
 METADATA_FIELDS = ["title", "author", "subject", "creator", "producer", "page_count"]
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    Used where a table feeds several passes: it is computed once, and a lost
-    executor costs a read and not the work before it.
-    """
-    path = work_folder(df.sparkSession, label)
-    df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def listing_line(number: Column, title: Column, start: Column, unit: str = "page") -> Column:
     """``1. Title (page 3)``; no page where the start is not known."""
     place = F.when(F.coalesce(start, F.lit(0)) > 0, F.concat(F.lit(f" ({unit} "), start.cast("string"), F.lit(")")))

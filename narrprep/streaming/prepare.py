@@ -83,7 +83,12 @@ def without_repeats(stream: DataFrame, keys: list[str], ts: str = "ts", delay: s
 
 
 def quiet_sessions(stream: DataFrame, key: str = "job_id", ts: str = "ts", gap: str = "15 seconds", delay: str = "0 seconds") -> DataFrame:
-    """Runs of updates of a job without a gap longer than ``gap``; each end is a stall."""
+    """Runs of updates of a job without a gap longer than ``gap``; each end is a stall.
+
+    Sessions are merged in every task before the shuffle, so that a job with
+    very many updates arrives as a few sessions.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         stream.withWatermark(ts, delay)
         .groupBy(F.session_window(ts, gap).alias("w"), key)

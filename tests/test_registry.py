@@ -60,3 +60,9 @@ def test_pages_drop_rows_before_the_shuffle(spark, small):
 def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["doc_id", "detected", "clean"] and df.count() == 200
+
+
+@pytest.mark.parametrize("name", ["narration_chunks", "narration_markers", "merge_short", "sentences", "headings", "chapter_spans", "pack_chunks"])
+def test_arrays_are_computed_once(spark, small, name):
+    # An inferred filter on the size of an array would compute the array again.
+    assert "Filter (size(" not in plan(QUERIES[name](spark, small)).replace("((", "(")

@@ -8,6 +8,7 @@ from narrprep.operators import voices as V
 from narrprep.operators.observe import observed
 from narrprep.operators.scoring import paced_model, score_chunks
 from narrprep.operators.timeline import with_durations
+from narrprep.session import stage
 from narrprep.sources import files as S
 from narrprep.sources import sinks as K
 from narrprep.sources.tables import spread, with_metadata
@@ -75,7 +76,7 @@ def test_chunk_sink_replaces_only_its_buckets(spark, tmp_path):
 
 def test_stage_reads_back(spark):
     df = spark.range(5).withColumn("t", F.lit("x"))
-    assert K.stage(df, "test-stage").exceptAll(df).count() == 0
+    assert stage(df, "test-stage").exceptAll(df).count() == 0
 
 
 def test_metadata(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from narrprep.operators import timeline as L
 from narrprep.operators.scan import number_block
-from narrprep.sources.sinks import stage
+from narrprep.session import stage
 from narrprep.plans.narrate import narrate, narration_chunks, narration_markers, narration_summary
 
 
