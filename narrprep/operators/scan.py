@@ -68,7 +68,8 @@ def ordered_scan(
         for name, value in columns.items():
             rows = rows.withColumn(f"__{kind}_{name}", value)
 
-    position = F.struct(*order)
+    # One order column is compared as it is; a struct only where there are more.
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     partial = []
     for name in kinds["sum"]:
         partial.append(F.sum(f"__sum_{name}").alias(f"__b_sum_{name}"))

@@ -61,19 +61,26 @@ def timeline(
             F.lit(0).cast("bigint")
         )
 
+    # Both passes start from the same filter and, for a table without further
+    # columns, shuffle the same columns, so that they share one shuffle.
+    placed_only = F.col(BLOCK).isNotNull()
+    for key in keys:
+        placed_only = placed_only & F.col(key).isNotNull()
     rows = (
         chunks.withColumn(BLOCK, block)
+        .filter(placed_only)
+        .withColumn("__seen", F.last(chapter, ignorenulls=True).over(earlier))
         .withColumn(
             "paragraph_pause",
             F.when(F.col("paragraph_break_after"), F.lit(silence_samples(paragraph_pause)))
             .otherwise(F.lit(0))
             .cast("bigint"),
         )
-        .withColumn("__seen", F.last(chapter, ignorenulls=True).over(earlier))
     )
     sound = F.col("n_samples") + F.col("paragraph_pause")
 
-    position = F.when(chapter.isNotNull(), F.struct(*order))
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    position = F.when(chapter.isNotNull(), place)
     blocks = rows.groupBy(*keys, BLOCK).agg(
         F.sum(sound + gap(chapter, F.col("__seen"))).alias("__span"),
         F.count(F.lit(1)).alias("__rows"),
