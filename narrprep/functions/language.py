@@ -24,8 +24,12 @@ MIN_RATIO = 0.05
 
 
 def marker_hits(text: Column, words: list[str]) -> Column:
-    """Array of the whole words of ``words`` in a text, in lower case."""
-    pattern = LEFT_EDGE + any_of(words) + RIGHT_EDGE
+    """Array of the whole words of ``words`` in a text, in lower case.
+
+    The first letters are tested before the word boundary is looked back for.
+    """
+    first = "".join(sorted({word[0] for word in words}))
+    pattern = f"(?=[{first}])" + LEFT_EDGE + any_of(words) + RIGHT_EDGE
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 

@@ -126,7 +126,7 @@ def normalize_whitespace(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(rf"{NON_SPACE}+"))
+    return F.regexp_count(c, F.lit(rf"{NON_SPACE}++"))
 
 
 def file_label(c: Column) -> Column:
