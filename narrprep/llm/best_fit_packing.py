@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import texts
 
-#: Words whose tokens a task remembers, and the longest word it does.
-REMEMBERED = 300_000
-LONGEST = 48
+#: Words whose tokens a worker remembers, and the longest word it does.
+REMEMBERED, LONGEST = 600_000, 48
+#: A character that is a token of its own, put between words that are encoded together.
+BETWEEN = "\x01"
 
 
 class WordTokens(dict):
@@ -32,25 +34,56 @@ class WordTokens(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self._ids(BETWEEN)
+        if len(self.between) != 1:
+            raise ValueError("the tokenizer has no single token for the character between words")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if BETWEEN not in w]
+        for a in range(0, len(plain), 2000):
+            some = plain[a : a + 2000]
+            ids = self._ids(f" {BETWEEN} ".join(some))
+            ends = np.append(np.flatnonzero(ids == self.between[0]), len(ids))
+            starts = np.append(0, ends[:-1] + 1)
+            found = ids.tobytes()
+            for word, i, j in zip(some, (starts * 4).tolist(), (ends * 4).tolist(), strict=True):
+                self[word] = found[i:j]
+        for word in set(words).difference(plain):
+            self[word] = self._ids(word).tobytes()
 
     def texts(self, batch: list[str]) -> Iterator[bytes]:
-        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in batch]
+        split = []
+        for text in batch:
+            # Names of special tokens are read as written; all else is read without case.
+            low = text.lower() if text.isascii() and "<|" not in text else text
+            split.append(low.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
         new = set().union(*split).difference(self)
         if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = set().union(*split)
-        words = list(new)
-        for word, found in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
+        self._learn(list(new))
         for text in split:
             yield b"".join(map(self.__getitem__, text))
-        for word in words:
+        for word in new:
             if len(word) > LONGEST:
                 del self[word]
 
 
+_loaded: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The tokenizer of a worker, which its later tasks find with the words it knows."""
+    if path not in _loaded:
+        _loaded[path] = WordTokens(path)
+    return _loaded[path]
+
+
 def _pieces(batches, path: str, length: int, end: int, with_ids: bool):
-    tokens = WordTokens(path)
+    tokens = word_tokens(path)
     last = end.to_bytes(4, "little")
     for batch in batches:
         ids, all_texts = batch.column("doc_id").to_pylist(), batch.column("text")
