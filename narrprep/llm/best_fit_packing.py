@@ -21,7 +21,7 @@ REMEMBERED, LONGEST = 600_000, 48
 BETWEEN = "\x01"
 
 
-class WordTokens(dict):
+class WordTokens:
     """Token ids of words, as little-endian bytes.
 
     The tokenizer splits at white space and drops it, so the tokens of a text are those of its words; a word is
@@ -32,7 +32,7 @@ class WordTokens(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self._ids(BETWEEN)
         if len(self.between) != 1:
@@ -50,9 +50,9 @@ class WordTokens(dict):
             starts = np.append(0, ends[:-1] + 1)
             found = ids.tobytes()
             for word, i, j in zip(some, (starts * 4).tolist(), (ends * 4).tolist(), strict=True):
-                self[word] = found[i:j]
+                self.known[word] = found[i:j]
         for word in set(words).difference(plain):
-            self[word] = self._ids(word).tobytes()
+            self.known[word] = self._ids(word).tobytes()
 
     def texts(self, batch: list[str]) -> Iterator[bytes]:
         split = []
@@ -60,16 +60,16 @@ class WordTokens(dict):
             # Names of special tokens are read as written; all else is read without case.
             low = text.lower() if text.isascii() and "<|" not in text else text
             split.append(low.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        new = set().union(*split).difference(self)
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
             new = set().union(*split)
         self._learn(list(new))
         for text in split:
-            yield b"".join(map(self.__getitem__, text))
+            yield b"".join(map(self.known.__getitem__, text))
         for word in new:
             if len(word) > LONGEST:
-                del self[word]
+                del self.known[word]
 
 
 _loaded: dict[str, WordTokens] = {}
