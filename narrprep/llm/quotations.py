@@ -44,14 +44,14 @@ def own_text(text: Column) -> Column:
 
 def passages(text: Column) -> Column:
     """Quoted passages: depth, and the normalised lines that are not empty."""
-    lines = _lines(text)
+    lines = _lines(F.replace(text, F.lit("\x00"), F.lit("")))
     # A passage begins where the depth changes; every line carries the number of the passage it lies in.
     starts = F.transform(lines, lambda x, i: (i == 0) | (x["depth"] != F.get(lines, i - 1)["depth"]))
     joined = F.concat_ws(
         "\n", F.transform(F.arrays_zip(lines.alias("x"), starts.alias("new")),
                           lambda z: F.concat(F.when(z["new"], F.lit("\x00")).otherwise(F.lit("")), z["x"]["depth"].cast("string"), F.lit(" "), z["x"]["line"]))
     )
-    parts = F.filter(F.split(joined, "\x00", -1), lambda p: F.regexp_extract(p, r"^(\d+) ", 1).cast("int") > 0)
+    parts = F.filter(F.split(joined, "\x00", -1), lambda p: p.rlike("^[1-9]"))
     return F.transform(
         parts,
         lambda p: F.struct(
