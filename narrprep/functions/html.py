@@ -42,6 +42,12 @@ def _replace_named(t: Column) -> Column:
     )
 
 
+def _windows(number: Column) -> Column:
+    """Codes 128 to 159 read as the Windows code page, as browsers do; null for all others."""
+    page = {n: bytes([n]).decode("cp1252", "ignore") for n in range(0x80, 0xA0)}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in page.items() if pair[1] for x in pair]), number)
+
+
 def _replace_codes(t: Column) -> Column:
     codes = F.filter(
         F.array_distinct(F.regexp_extract_all(t, F.lit(_CODE), F.lit(0))),
@@ -51,7 +57,12 @@ def _replace_codes(t: Column) -> Column:
     def character(code: Column) -> Column:
         digits = F.regexp_extract(code, r"&#[xX]?([0-9A-Fa-f]+);", 1)
         base16 = F.when(code.rlike("&#[xX]"), F.upper(digits)).otherwise(F.conv(digits, 10, 16))
-        return F.decode(F.unhex(F.lpad(base16, 8, "0")), "UTF-32")
+        bare = F.regexp_replace(base16, "^0+", "")
+        number = F.when(F.length(bare) <= 6, F.conv(bare, 16, 10).cast("int"))
+        exists = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        # A code that no character has reads as the replacement character.
+        known = F.when(exists, F.decode(F.unhex(F.lpad(bare, 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        return F.coalesce(_windows(number), known)
 
     return F.aggregate(codes, t, lambda acc, code: F.replace(acc, code, character(code)))
 
@@ -80,6 +91,8 @@ def html_to_text(c: Column) -> Column:
     """
     c = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*+>.*?</\1\s*+>", "\n")
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", "\n")
+    # A ">" inside a quoted attribute does not end the tag; tags with a stray quote end at the first one.
+    c = F.regexp_replace(c, r"""<[A-Za-z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", "\n")
     c = F.regexp_replace(c, r"<[A-Za-z/!?][^>]*+>", "\n")
     c = unescape(c)
     breaks = rf"(?<!{INLINE_SPACE}){INLINE_SPACE}*+{LINE_BREAK}{SPACE}*+"
@@ -93,5 +106,8 @@ def page_title(c: Column) -> Column:
 
 def meta_value(c: Column, name: str) -> Column:
     """``content`` of a ``<meta name=…>`` element; empty when it is missing."""
-    pattern = rf"""(?is)<meta\s+name=["']{name}["']\s+content=["']([^"']*)["']"""
-    return strip(unescape(F.regexp_extract(c, pattern, 1)))
+    tags = F.regexp_extract_all(c, F.lit(r"""(?is)<meta\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0))
+    named = F.get(F.filter(tags, lambda tag: tag.rlike(rf"""(?is)\sname\s*=\s*["']?{name}["'\s/>]""")), 0)
+    double = F.regexp_extract(named, r"""(?is)\scontent\s*=\s*"([^"]*)\"""", 1)
+    single = F.regexp_extract(named, r"""(?is)\scontent\s*=\s*'([^']*)'""", 1)
+    return strip(unescape(F.coalesce(F.nullif(double, F.lit("")), single, F.lit(""))))

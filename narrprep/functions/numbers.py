@@ -101,7 +101,9 @@ def content_fingerprint(c: Column) -> Column:
 
 
 def chunk_label(idx: Column) -> Column:
-    return F.lpad(idx.cast("string"), 6, "0")
+    """At least six digits; longer numbers stay whole."""
+    digits = idx.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0"))
 
 
 def iso_utc(ts: Column) -> Column:

@@ -41,21 +41,22 @@ def verify_runs(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     stored = manifest.select(
         "doc_id",
+        F.lit(True).alias("stored"),
         F.col("version").alias("run_version"),
         F.col("input_hash").alias("run_input"),
         F.col("settings_hash").alias("run_settings"),
     )
     reason = (
-        F.when(F.col("run_version").isNull(), "No checkpoint exists")
-        .when(F.col("run_version") != STATE_VERSION, "Unsupported checkpoint version")
-        .when(F.col("run_input") != F.col("input_hash"), "Input file has changed since checkpoint was created")
-        .when(F.col("run_settings") != F.col("settings_hash"), "Conversion settings have changed")
-        .otherwise("Checkpoint is valid")
+        F.when(F.col("stored").isNull(), "no stored run")
+        .when(~F.col("run_version").eqNullSafe(F.lit(STATE_VERSION)), "stored run has another version")
+        .when(~F.col("run_input").eqNullSafe(F.col("input_hash")), "input differs from the stored run")
+        .when(~F.col("run_settings").eqNullSafe(F.col("settings_hash")), "settings differ from the stored run")
+        .otherwise("stored run can go on")
     )
     return (
         documents.select("doc_id", "input_hash", "settings_hash")
         .join(stored, "doc_id", "left")
-        .select("doc_id", reason.alias("reason"), (reason == "Checkpoint is valid").alias("valid"))
+        .select("doc_id", reason.alias("reason"), (reason == "stored run can go on").alias("valid"))
     )
 
 
@@ -66,7 +67,7 @@ def run_progress(chunks: DataFrame, done: DataFrame, keys: Sequence[str], part:
     never one task.
     """
     total = chunks.groupBy(*keys).agg(F.count(part).alias("total_chunks"))
-    finished = done.groupBy(*keys).agg(F.count(part).alias("completed_chunks"))
+    finished = done.select(*keys, part).distinct().groupBy(*keys).agg(F.count(part).alias("completed_chunks"))
     completed = F.coalesce("completed_chunks", F.lit(0).cast("bigint"))
     return total.join(finished, list(keys), "left").select(
         *keys,
@@ -81,18 +82,18 @@ def bucket_of(key: str = "doc_id", buckets: int = 256):
 
 
 def commit_chunks(chunks: DataFrame, path: str, run_id: str | int, key: str = "doc_id", buckets: int = 256) -> None:
-    """Write finished chunks of one run; writing the same run again replaces it.
+    """Write finished chunks of one run; writing the same run again replaces all of it.
 
     The rebalance hint gathers a bucket's rows into few files and splits a
     bucket that holds far more rows than the others.
     """
     (
-        chunks.withColumns({"run_id": F.lit(str(run_id)), "doc_bucket": bucket_of(key, buckets)})
-        .hint("rebalance", "run_id", "doc_bucket")
+        chunks.withColumn("doc_bucket", bucket_of(key, buckets))
+        .hint("rebalance", "doc_bucket")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id", "doc_bucket")
-        .parquet(path)
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("doc_bucket")
+        .parquet(f"{path.rstrip('/')}/run_id={run_id}")
     )
 
 

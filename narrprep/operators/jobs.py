@@ -117,9 +117,14 @@ def owned_job(jobs: DataFrame, job_id, user_id) -> DataFrame:
     return jobs.filter((F.col("job_id") == job_id) & (F.col("user_id") == user_id))
 
 
+def _check_page(limit: int) -> None:
+    if not 1 <= limit <= MAX_PAGE_SIZE:
+        raise ValueError(f"a page holds 1 to {MAX_PAGE_SIZE} jobs, not {limit}")
+
+
 def list_jobs(jobs: DataFrame, user_id, limit: int = PAGE_SIZE, offset: int = 0) -> DataFrame:
     """One page of a user's jobs, newest first."""
-    limit = max(1, min(limit, MAX_PAGE_SIZE))
+    _check_page(limit)
     return (
         jobs.filter(F.col("user_id") == user_id)
         .orderBy(F.col("created_at").desc(), F.col("job_id"))
@@ -130,7 +135,7 @@ def list_jobs(jobs: DataFrame, user_id, limit: int = PAGE_SIZE, offset: int = 0)
 
 def job_pages(jobs: DataFrame, limit: int = PAGE_SIZE, offset: int = 0) -> DataFrame:
     """The same page for every user; rows behind it are dropped before the shuffle."""
-    limit = max(1, min(limit, MAX_PAGE_SIZE))
+    _check_page(limit)
     return first_rows(jobs, ["user_id"], [F.col("created_at").desc(), F.col("job_id")], limit, offset)
 
 
@@ -204,9 +209,9 @@ def apply_updates(current: DataFrame, updates: DataFrame) -> DataFrame:
     pair = F.concat_ws(">", "status", "to_status")
     allowed = pair.isin([f"{a}>{b}" for a, b in TRANSITIONS])
     reason = (
-        F.when(F.col("status").isNull(), "Job not found")
+        F.when(F.col("status").isNull(), "unknown job")
         .when((F.col("to_status") == "cancelled") & ~can_cancel(F.col("status")),
-              F.concat(F.lit("Cannot cancel job with status: "), "status"))
+              F.concat(F.lit("too late to cancel, status "), "status"))
         .when(~allowed, F.concat(F.lit("Not allowed: "), pair))
     )
     joined = updates.join(current.select("job_id", "status"), "job_id", "left")

@@ -28,7 +28,8 @@ def score_chunks(
     """Run a model over every chunk in Arrow batches; blank texts are dropped.
 
     Rows are sorted by voice inside their partition, so a task loads a model
-    for each voice once, and no voice is gathered in one task.
+    for each voice once, and no voice is gathered in one task.  Rows without a
+    voice go to the model of ``None``.
     """
     schema = T.StructType([*chunks.schema.fields, T.StructField(out, T.LongType())])
 
@@ -36,7 +37,8 @@ def score_chunks(
         current, model = None, None
         for batch in batches:
             counts = pd.Series(0, index=batch.index, dtype="int64")
-            for name, rows in batch.groupby(voice, sort=False):
+            for name, rows in batch.groupby(voice, sort=False, dropna=False):
+                name = None if pd.isna(name) else name
                 if model is None or name != current:
                     current, model = name, factory(name)
                 counts.loc[rows.index] = list(model(rows[text].tolist(), rows[speed].tolist()))

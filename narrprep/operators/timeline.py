@@ -49,7 +49,7 @@ def timeline(
     a block only the pause of its first chapter is open, and that is settled
     on the block summaries.
     """
-    block = number_block(order[-1], BLOCK_ROWS) if block is None else block
+    block = number_block(order[0], BLOCK_ROWS) if block is None else block
     keys, order = list(keys), list(order)
     chapter = F.col("chapter_no")
     inside = Window.partitionBy(*keys, BLOCK)
@@ -135,7 +135,7 @@ def chapter_markers(
     A marker lies before the pause of its chapter and ends where the next one
     starts, the last one at the end of the book.
     """
-    block = number_block(order[-1], BLOCK_ROWS) if block is None else block
+    block = number_block(order[0], BLOCK_ROWS) if block is None else block
     opened = lines.filter("chapter_change").select(
         *keys, *order, "chapter_no", "marker_sample", "total_samples"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, strip, without_fragment
@@ -18,6 +18,16 @@ def valid_entries(toc: DataFrame) -> DataFrame:
     )
 
 
+def _rank(order: Column) -> Column:
+    """Text that sorts like the number: twelve digits, longer numbers behind and negative ones before them."""
+    wide = lambda n: F.lpad(n.cast("string"), 19, "0")
+    return (
+        F.when(order < 0, F.concat(F.lit("-"), wide(order + F.lit(2**63 - 1))))
+        .when(order >= 10**12, F.concat(F.lit("~"), wide(order)))
+        .otherwise(F.lpad(order.cast("string"), 12, "0"))
+    )
+
+
 def flatten_toc(entries: DataFrame, keys: Sequence[str], max_levels: int | None = None) -> DataFrame:
     """Depth-first level and path of a tree given as (entry_id, parent_id, ord).
 
@@ -27,7 +37,7 @@ def flatten_toc(entries: DataFrame, keys: Sequence[str], max_levels: int | None
     depth-first order.
     """
     keys = list(keys)
-    rank = F.lpad(F.col("ord").cast("string"), 12, "0")
+    rank = _rank(F.col("ord").cast("bigint"))
     frontier = entries.filter(F.col("parent_id").isNull()).withColumns(
         {"level": F.lit(1), "path": rank}
     )

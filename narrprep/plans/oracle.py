@@ -404,8 +404,8 @@ select doc_id, chapter_no, start_char, start_char + n as end_char from x""",
     "job_create": f"""select user_id, 'pending' as status, 'book ' || job_id || '.EPUB' as input_filename, 'epub' as input_format,
   replace(chapters_to_convert, ' ', '') as chapters_to_convert from {JOBS}""",
     "job_updates": f"""with u as (select l_orderkey as job_id, case min(l_returnflag) when 'A' then 'cancelled' when 'N' then 'processing' else 'completed' end as to_status from lineitem group by 1),
-j as (select u.job_id, u.to_status, j.status, case when j.status is null then 'Job not found'
-  when to_status = 'cancelled' and j.status = 'completed' then 'Cannot cancel job with status: completed'
+j as (select u.job_id, u.to_status, j.status, case when j.status is null then 'unknown job'
+  when to_status = 'cancelled' and j.status = 'completed' then 'too late to cancel, status completed'
   when (j.status, to_status) not in (('pending', 'processing'), ('pending', 'cancelled'), ('processing', 'completed'), ('processing', 'cancelled')) then 'Not allowed: ' || j.status || '>' || to_status end as refused
   from u left join {JOBS} j on j.job_id = u.job_id)
 select job_id, case when refused is null then to_status else status end as status, case when refused is null and to_status = 'completed' then 100.0::double end as percent, refused from j""",
@@ -506,9 +506,9 @@ select page_id, name, regexp_replace(name, '([^.])\\.[^.]+$', '\\1') as stem, lo
     "pending_chunks": f"with {RUN_ROWS} select doc_id, chunk_idx, text from chunks c where not exists (select 1 from done d where d.doc_id = c.doc_id and d.chunk_idx = c.chunk_idx and d.input_hash = c.input_hash and d.settings_hash = c.settings_hash)",
     "recover_missing": f"with {RUN_ROWS} select d.doc_id, d.chunk_idx, d.settings_hash from done d join chunks c on d.doc_id = c.doc_id and d.chunk_idx = c.chunk_idx and d.settings_hash = c.settings_hash where length(c.text) > 100",
     "resume_verify": """with r as (select d.doc_id, l.quality, l.toxic from documents d left join labels l using (doc_id)),
-x as (select doc_id, case when quality is null then 'No checkpoint exists' when quality = 0 and toxic = 1 then 'Unsupported checkpoint version'
-  when quality = 0 then 'Input file has changed since checkpoint was created' when toxic = 1 then 'Conversion settings have changed' else 'Checkpoint is valid' end as reason from r)
-select doc_id, reason, reason = 'Checkpoint is valid' as valid from x""",
+x as (select doc_id, case when quality is null then 'no stored run' when quality = 0 and toxic = 1 then 'stored run has another version'
+  when quality = 0 then 'input differs from the stored run' when toxic = 1 then 'settings differ from the stored run' else 'stored run can go on' end as reason from r)
+select doc_id, reason, reason = 'stored run can go on' as valid from x""",
     "progress_percent": f"with {para_ctes(PARAGRAPHED)} select doc_id, count(*) filter (length(p) > 200) as completed_chunks, count(*) as total_chunks, count(*) filter (length(p) > 200) * 100.0::double / count(*) as percent from paras group by doc_id",
     "latest_state": f"select job_id, status, stage, percent, chunk, message, ts, n_updates from (select *, row_number() over (partition by job_id order by ts desc, event_id desc) as rn, count(*) over (partition by job_id) as n_updates from {LOG}) where rn = 1",
     "job_view": f"select job_id, status, stage, case when status = 'completed' then 100.0 else coalesce(percent, 0.0) end::double as percent, coalesce(chunk, 0) as chunk, message from (select *, row_number() over (partition by job_id order by ts desc, event_id desc) as rn from {LOG}) where rn = 1",

@@ -40,7 +40,7 @@ def route_files(files: DataFrame, path: str = "path", direction: str = "input")
     """Files of a known format, and the rejected ones with the reason."""
     routed = with_format(files, path, direction)
     rejected = routed.filter("format is null").withColumn(
-        "reason", F.concat(F.lit("Unsupported format: "), F.coalesce(F.nullif("extension", F.lit("")), F.lit("unknown")))
+        "reason", F.concat(F.lit("no reader for "), F.coalesce(F.nullif("extension", F.lit("")), F.lit("unknown")))
     )
     return routed.filter("format is not null"), rejected
 

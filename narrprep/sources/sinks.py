@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.incremental import bucket_of
+from ..session import stage
 
 RULER = "=" * 60
 METADATA_FIELDS = ["title", "author", "subject", "creator", "producer", "page_count"]
@@ -78,9 +79,22 @@ def write_text(exported: DataFrame, path: str, key: str = "doc_id", buckets: int
 
 
 def write_chunks(chunks: DataFrame, path: str, key: str = "doc_id", buckets: int = 256) -> None:
-    """Chunk or timeline rows by document bucket; only buckets written to are replaced."""
+    """Chunk or timeline rows by document bucket; all rows of the documents written are replaced, no others.
+
+    Buckets written to are rewritten with what they held of other documents.
+    """
+    rows = chunks.withColumn("doc_bucket", bucket_of(key, buckets))
+    spark = chunks.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        stored = spark.read.schema(rows.schema).parquet(path)
+        others = stored.join(rows.select("doc_bucket").distinct(), "doc_bucket", "left_semi").join(
+            rows.select(F.col(key).alias("written")).distinct(), F.col(key).eqNullSafe(F.col("written")), "left_anti"
+        )
+        # The buckets are read before they are replaced.
+        rows = stage(rows.unionByName(others.select(*rows.columns)), "chunk-buckets")
     (
-        chunks.withColumn("doc_bucket", bucket_of(key, buckets))
+        rows
         .hint("rebalance", "doc_bucket")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

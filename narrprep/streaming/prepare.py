@@ -12,15 +12,14 @@ from ..session import work_folder
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """Stream over the parquet files of one table."""
-    path = f"{folder.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", f"{name}*.parquet")
-        .parquet(folder)
-    )
+    """Stream over the parquet files of one table, which is a file or a folder of part files.
+
+    The path is written as a pattern that only the table's own name matches, since a stream takes a plain path for
+    a folder.
+    """
+    path = f"{folder.rstrip('/')}/{name}.parque"
+    schema = spark.read.parquet(f"{path}t").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}[t]")
 
 
 def start_prepared(

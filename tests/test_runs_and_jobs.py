@@ -43,7 +43,10 @@ def test_verify_tells_the_first_reason(spark):
         "doc_id int, version int, input_hash string, settings_hash string",
     )
     got = {r["doc_id"]: (r["valid"], r["reason"].split()[0]) for r in I.verify_runs(docs, runs).collect()}
-    assert got == {1: (True, "Checkpoint"), 2: (False, "Input"), 3: (False, "Conversion"), 4: (False, "Input"), 5: (False, "Unsupported"), 6: (False, "No")}
+    assert got == {1: (True, "stored"), 2: (False, "input"), 3: (False, "settings"), 4: (False, "input"), 5: (False, "stored"), 6: (False, "no")}
+    bare = spark.createDataFrame([(1, 1, None, "s"), (2, None, "h", "s")], runs.schema)
+    got = {r["doc_id"]: (r["valid"], r["reason"]) for r in I.verify_runs(docs.filter("doc_id < 3"), bare).collect()}
+    assert got == {1: (False, "input differs from the stored run"), 2: (False, "stored run has another version")}
     known, other = I.readable_state(runs)
     assert (known.count(), other.count()) == (4, 1)
 
@@ -55,6 +58,9 @@ def test_commit_twice_keeps_one_copy(spark, tmp_path):
     I.commit_chunks(chunk_table(spark, [30]), path, "b", buckets=4)
     I.commit_chunks(chunks, path, "a", buckets=4)
     assert spark.read.parquet(path).count() == 21
+    I.commit_chunks(chunk_table(spark, [1]), path, "a", buckets=4)
+    assert spark.read.parquet(path).filter("run_id = 'a'").count() == 1
+    I.commit_chunks(chunks, path, "a", buckets=4)
     assert I.drop_documents(spark.read.parquet(path), spark.createDataFrame([(1,)], "doc_id int")).count() == 0
 
 
@@ -112,7 +118,9 @@ def test_pages(spark):
     assert page == [18, 12, 14]
     every = J.job_pages(jobs, limit=3, offset=1).filter("user_id = 0").orderBy("row_no").collect()
     assert [r["job_id"] for r in every] == page
-    assert J.list_jobs(jobs, 0, limit=500).count() == 10
+    assert J.list_jobs(jobs, 0, limit=100).count() == 10
+    with pytest.raises(ValueError):
+        J.list_jobs(jobs, 0, limit=500)
     assert J.owned_job(jobs, 3, 0).count() == 0 and J.owned_job(jobs, 3, 1).count() == 1
 
 
@@ -122,10 +130,10 @@ def test_updates_are_refused_with_a_reason(spark):
     got = {r["job_id"]: (r["status"], r["percent"], r["refused"]) for r in J.apply_updates(jobs, updates).collect()}
     assert got == {
         1: ("processing", None, None),
-        2: ("completed", None, "Cannot cancel job with status: completed"),
+        2: ("completed", None, "too late to cancel, status completed"),
         3: ("completed", 100.0, None),
         4: ("failed", None, "Not allowed: failed>completed"),
-        5: (None, None, "Job not found"),
+        5: (None, None, "unknown job"),
     }
 
 

@@ -26,7 +26,7 @@ def test_unknown_inputs_are_set_aside(spark):
     df = spark.createDataFrame([("a.pdf",), ("b.EPUB",), ("c.doc",), ("d",)], "path string")
     ok, bad = S.route_files(df)
     assert [(r["format"], r["media_type"]) for r in ok.collect()] == [("pdf", "application/pdf"), ("epub", "application/epub+zip")]
-    assert [r["reason"] for r in bad.collect()] == ["Unsupported format: .doc", "Unsupported format: unknown"]
+    assert [r["reason"] for r in bad.collect()] == ["no reader for .doc", "no reader for unknown"]
 
 
 def test_manifest_and_text_files(spark, tmp_path):
@@ -65,13 +65,16 @@ def test_chapter_listing(spark):
     assert [(r["start"], r["line"]) for r in rows] == [("3", "1. One (page 3)"), ("?", "2. Two"), ("?", "3. Three")]
 
 
-def test_chunk_sink_replaces_only_its_buckets(spark, tmp_path):
+def test_chunk_sink_replaces_only_its_documents(spark, tmp_path):
     path = str(tmp_path / "chunks")
     df = spark.createDataFrame([(i, 0) for i in range(50)], "doc_id int, chunk_idx int")
     K.write_chunks(df, path, buckets=8)
     K.write_chunks(df.filter("doc_id = 3"), path, buckets=8)
     left = spark.read.parquet(path)
-    assert left.filter("doc_id = 3").count() == 1 and left.count() < 50 and left.count() > 30
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(50))
+    K.write_chunks(df.filter("doc_id = 3").withColumn("chunk_idx", F.lit(7)), path, buckets=8)
+    left = spark.read.parquet(path)
+    assert left.count() == 50 and left.filter("doc_id = 3").first()["chunk_idx"] == 7
 
 
 def test_stage_reads_back(spark):
@@ -116,3 +119,19 @@ def test_observer_counts_while_writing(spark):
     df, watch = observed(spark.range(10), "n", total=F.sum("id"))
     df.write.format("noop").mode("overwrite").save()
     assert watch.get == {"rows": 10, "total": 45}
+
+
+def test_metadata_attributes_in_any_order_and_quotes(spark):
+    html = """<meta content="Flann O'Brien" name="author"><meta data-x='1' name='description' content='a "b"'>"""
+    row = with_metadata(spark.createDataFrame([(html,)], "html string")).first()["metadata"]
+    assert (row["author"], row["subject"]) == ("Flann O'Brien", 'a "b"')
+
+
+@pytest.mark.parametrize("html, text", [
+    ("a&#1114112;b", "a\ufffdb"), ("&#128;", "\u20ac"), ("&#xD800;", "\ufffd"), ("&#65;&#x00042;", "AB"),
+    ("&#9999999;", "\ufffd"), ('<a title="x>y">z</a>', "z"), ("<p class=a'b>z</p>", "z"),
+])
+def test_html_that_is_not_well_formed(one, html, text):
+    from narrprep.functions.html import html_to_text
+
+    assert one(html_to_text, html) == text

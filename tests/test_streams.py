@@ -121,3 +121,12 @@ def test_listener_sees_batches(spark, feed):
     finally:
         spark.streams.removeListener(listener)
     assert sum(e.get("rows", 0) for e in seen) == 400
+
+
+def test_a_stream_reads_a_folder_table_and_only_its_own(spark, tmp_path):
+    from narrprep.streaming.prepare import file_stream, streamed_table
+
+    folder = str(tmp_path)
+    spark.range(100).repartition(3).write.parquet(f"{folder}/events.parquet")
+    spark.range(7).write.parquet(f"{folder}/events_old.parquet")
+    assert streamed_table(spark, file_stream(spark, folder, "events"), "stream-test").count() == 100
