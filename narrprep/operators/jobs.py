@@ -91,6 +91,18 @@ def stalled(
     return scanned.withColumn("gap_us", micros).filter(F.col("gap_us") > int(seconds * 1_000_000))
 
 
+def open_stalls(log: DataFrame, seconds: float = 15.0) -> DataFrame:
+    """Jobs that have not ended and whose last update lies more than ``seconds`` before the end of the log.
+
+    A job that went silent and never came back has no later update to measure a gap by.
+    """
+    last = latest_state(log, ["status", "stage", "ts"])
+    ended = F.coalesce(F.col("status").isin(TERMINAL), F.lit(False))
+    silent = last.filter(~ended).withColumn("log_end", log.agg(F.max("ts")).scalar())
+    micros = F.unix_micros(F.col("log_end").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    return silent.withColumn("silent_us", micros).filter(F.col("silent_us") > int(seconds * 1_000_000))
+
+
 def illegal_transitions(log: DataFrame, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """Status changes that are not allowed, such as cancelled to completed."""
     scanned = ordered_scan(

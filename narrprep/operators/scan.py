@@ -3,12 +3,14 @@
 ``sum(...) over (partition by book order by pos)`` puts a whole book in one
 task, and a hot book may hold a third of all rows.  Here a group is cut into
 blocks by its order column.  Every block is summarised (map-side combined),
-the short list of block summaries is scanned per group, and rows are scanned
-inside their block only, starting from what the block carries in.  A task
-never holds more than one block of rows or one group's block summaries.
-
-The block is a function of the row's own order value, so both passes and any
-recomputed task agree on it.
+the block summaries are scanned per group, and rows are scanned inside their
+block only, starting from what the block carries in.  The summaries are scanned
+the same way, in blocks of ``FAN`` blocks, so that a task holds one block of
+rows, one block of summaries, or the few summaries of the last level.
+
+The block is a function of the row's own order value, so all passes and any
+recomputed task agree on it.  A block and its keys form one struct, which
+compares nulls as equal: rows with a null key are a group like any other.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "__block"
+#: Block numbers in one block of the next level.
+FAN = 1024
 
 
 def number_block(order: Column | str, rows: int) -> Column:
@@ -27,12 +31,17 @@ def number_block(order: Column | str, rows: int) -> Column:
     return F.floor(c / F.lit(rows)).cast("bigint")
 
 
-def time_block(ts: Column | str, seconds: int = 3600) -> Column:
-    """Block of a time column: a fixed span of seconds."""
+def time_block(ts: Column | str, seconds: int = 300) -> Column:
+    """Block of a time column: a fixed span of seconds, chosen so that a busy job fits one task."""
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(seconds)).cast("bigint")
 
 
+def cell_of(keys: Sequence[str], block: Column) -> Column:
+    """A block of a group as one value; null keys and blocks equal each other."""
+    return F.struct(block.alias(BLOCK), *[F.col(k) for k in keys])
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -44,8 +53,10 @@ def ordered_scan(
     previous: Mapping[str, Column] | None = None,
     following: Mapping[str, Column] | None = None,
     group_sum: Mapping[str, Column] | None = None,
+    levels: int = 2,
+    fan: int = FAN,
 ) -> DataFrame:
-    """Add ordered columns per group of ``keys`` (not null), ordered by ``order`` (unique).
+    """Add ordered columns per group of ``keys``, ordered by ``order`` (unique, not null).
 
     ``sum_before``   sum over the earlier rows (0 for the first row)
     ``last_before``  last value that is not null among the earlier rows
@@ -53,7 +64,9 @@ def ordered_scan(
     ``following``    value of the row after, null for the last row
     ``group_sum``    sum over the whole group
 
-    ``block`` must not decrease along ``order``.
+    ``block`` must not decrease along ``order``.  Keys may be null.  ``levels``
+    counts the levels of blocks; above the last one the summaries of a group
+    are scanned in one task.
     """
     kinds = {
         "sum": dict(sum_before or {}),
@@ -63,7 +76,8 @@ def ordered_scan(
         "total": dict(group_sum or {}),
     }
     keys, order = list(keys), list(order)
-    rows = df.withColumn(BLOCK, block)
+    cell, number = f"__cell{levels}", f"__block{levels}"
+    rows = df.withColumn(cell, cell_of(keys, block))
     for kind, columns in kinds.items():
         for name, value in columns.items():
             rows = rows.withColumn(f"__{kind}_{name}", value)
@@ -84,27 +98,14 @@ def ordered_scan(
     for name in kinds["next"]:
         v = F.struct(F.col(f"__next_{name}").alias("v"))
         partial.append(F.min_by(v, position).alias(f"__b_next_{name}"))
-    blocks = rows.groupBy(*keys, BLOCK).agg(*partial)
-
-    whole = Window.partitionBy(*keys)
-    along = whole.orderBy(BLOCK)
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    carry = [F.count(F.lit(1)).over(whole).alias("__n_blocks")]
-    for name in kinds["sum"]:
-        carry.append(F.sum(f"__b_sum_{name}").over(before).alias(f"__c_sum_{name}"))
-    for name in kinds["total"]:
-        carry.append(F.sum(f"__b_total_{name}").over(whole).alias(f"__c_total_{name}"))
-    for name in kinds["last"]:
-        carry.append(F.last(f"__b_last_{name}", ignorenulls=True).over(before).alias(f"__c_last_{name}"))
-    for name in kinds["prev"]:
-        carry.append(F.lag(f"__b_prev_{name}").over(along).alias(f"__c_prev_{name}"))
-    for name in kinds["next"]:
-        carry.append(F.lead(f"__b_next_{name}").over(along).alias(f"__c_next_{name}"))
+    blocks = rows.groupBy(cell).agg(*partial) if partial else rows.select(cell).distinct()
+    blocks = blocks.select("*", *[F.col(cell)[k].alias(k) for k in keys], F.col(cell)[BLOCK].alias(number))
+    carry = _carries(blocks, kinds, keys, number, levels, fan)
     # A group of one block carries nothing in, so only longer groups are joined.
-    carries = blocks.select(*keys, BLOCK, *carry).filter("__n_blocks > 1").drop("__n_blocks")
+    carries = carry.filter("__n_blocks > 1").select(cell, *[c for c in carry.columns if c.startswith("__c_")])
 
-    joined = rows.join(carries, [*keys, BLOCK], "left")
-    inside = Window.partitionBy(*keys, BLOCK)
+    joined = rows.join(carries, cell, "left")
+    inside = Window.partitionBy(cell)
     ordered = inside.orderBy(*order)
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     out = []
@@ -126,6 +127,35 @@ def ordered_scan(
     return joined.select(*df.columns, *out)
 
 
+def _carries(blocks: DataFrame, kinds: dict, keys: list[str], number: str, levels: int, fan: int) -> DataFrame:
+    """What every block carries in (``__c_…``) and the number of blocks of its group."""
+    if levels > 1:
+        return ordered_scan(
+            blocks, keys, [number], number_block(number, fan),
+            sum_before={f"__c_sum_{n}": F.col(f"__b_sum_{n}") for n in kinds["sum"]},
+            last_before={f"__c_last_{n}": F.col(f"__b_last_{n}") for n in kinds["last"]},
+            previous={f"__c_prev_{n}": F.col(f"__b_prev_{n}") for n in kinds["prev"]},
+            following={f"__c_next_{n}": F.col(f"__b_next_{n}") for n in kinds["next"]},
+            group_sum={f"__c_total_{n}": F.col(f"__b_total_{n}") for n in kinds["total"]} | {"__n_blocks": F.lit(1)},
+            levels=levels - 1, fan=fan,
+        )
+    whole = Window.partitionBy(*keys)
+    along = whole.orderBy(number)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    carry = [F.count(F.lit(1)).over(whole).alias("__n_blocks")]
+    for name in kinds["sum"]:
+        carry.append(F.sum(f"__b_sum_{name}").over(before).alias(f"__c_sum_{name}"))
+    for name in kinds["total"]:
+        carry.append(F.sum(f"__b_total_{name}").over(whole).alias(f"__c_total_{name}"))
+    for name in kinds["last"]:
+        carry.append(F.last(f"__b_last_{name}", ignorenulls=True).over(before).alias(f"__c_last_{name}"))
+    for name in kinds["prev"]:
+        carry.append(F.lag(f"__b_prev_{name}").over(along).alias(f"__c_prev_{name}"))
+    for name in kinds["next"]:
+        carry.append(F.lead(f"__b_next_{name}").over(along).alias(f"__c_next_{name}"))
+    return blocks.select("*", *carry)
+
+
 def asof_backward(
     left: DataFrame,
     right: DataFrame,

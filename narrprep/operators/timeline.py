@@ -17,7 +17,7 @@ from ..functions.numbers import (
     spoken_samples,
 )
 from ..functions.text import word_count
-from .scan import BLOCK, number_block, ordered_scan
+from .scan import BLOCK, FAN, cell_of, number_block, ordered_scan
 
 BLOCK_ROWS = 65_536
 
@@ -41,7 +41,8 @@ def timeline(
 
     Needs ``n_samples``, ``chapter_no`` and ``paragraph_break_after``.  A chunk
     opens a chapter when its chapter differs from the last known one; the
-    first chapter has no pause before it.  Only narrow columns should be
+    first chapter has no pause before it.  Rows with a null key are a book of
+    their own, and rows with a null place stand first.  Only narrow columns should be
     passed in; join texts back by key.
 
     Two things run along a book here, the known chapter and the time, and the
@@ -52,8 +53,7 @@ def timeline(
     block = number_block(order[0], BLOCK_ROWS) if block is None else block
     keys, order = list(keys), list(order)
     chapter = F.col("chapter_no")
-    inside = Window.partitionBy(*keys, BLOCK)
-    earlier = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     chapter_gap = F.lit(silence_samples(chapter_pause)).cast("bigint")
 
     def gap(now: Column, known: Column) -> Column:
@@ -61,14 +61,8 @@ def timeline(
             F.lit(0).cast("bigint")
         )
 
-    # Both passes start from the same filter and, for a table without further
-    # columns, shuffle the same columns, so that they share one shuffle.
-    placed_only = F.col(BLOCK).isNotNull()
-    for key in keys:
-        placed_only = placed_only & F.col(key).isNotNull()
     rows = (
-        chunks.withColumn(BLOCK, block)
-        .filter(placed_only)
+        chunks.withColumn("__cell", cell_of(keys, block))
         .withColumn("__seen", F.last(chapter, ignorenulls=True).over(earlier))
         .withColumn(
             "paragraph_pause",
@@ -81,31 +75,26 @@ def timeline(
 
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     position = F.when(chapter.isNotNull(), place)
-    blocks = rows.groupBy(*keys, BLOCK).agg(
+    blocks = rows.groupBy("__cell").agg(
         F.sum(sound + gap(chapter, F.col("__seen"))).alias("__span"),
         F.count(F.lit(1)).alias("__rows"),
         F.min_by(chapter, position).alias("__first"),
         F.max_by(chapter, position).alias("__last"),
     )
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carries = (
-        blocks.withColumn("__known", F.last("__last", ignorenulls=True).over(before))
-        .withColumn("__span", F.col("__span") + gap(F.col("__first"), F.col("__known")))
-        .select(
-            *keys,
-            BLOCK,
-            "__known",
-            F.coalesce(F.sum("__span").over(before), F.lit(0)).alias("__samples_before"),
-            F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows_before"),
-            F.sum("__span").over(whole).alias("total_samples"),
-            F.sum("__rows").over(whole).alias("total_chunks"),
-        )
-    )
+    blocks = blocks.select("*", *[F.col("__cell")[k].alias(k) for k in keys], F.col("__cell")[BLOCK].alias(BLOCK))
+    above = number_block(BLOCK, FAN)
+    known = ordered_scan(blocks, keys, [BLOCK], above, last_before={"__known": F.col("__last")}, levels=1)
+    spans = known.withColumn("__span", F.col("__span") + gap(F.col("__first"), F.col("__known")))
+    carries = ordered_scan(
+        spans, keys, [BLOCK], above,
+        sum_before={"__samples_before": F.col("__span"), "__rows_before": F.col("__rows")},
+        group_sum={"total_samples": F.col("__span"), "total_chunks": F.col("__rows")},
+        levels=1,
+    ).select("__cell", "__known", "__samples_before", "__rows_before", "total_samples", "total_chunks")
 
     known = F.coalesce("__seen", "__known")
     placed = (
-        rows.join(carries, [*keys, BLOCK])
+        rows.join(carries, "__cell")
         .withColumn("chapter_change", chapter.isNotNull() & ~chapter.eqNullSafe(known))
         .withColumn("chapter_pause", gap(chapter, known))
     )

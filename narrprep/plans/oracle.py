@@ -513,6 +513,18 @@ select doc_id, reason, reason = 'stored run can go on' as valid from x""",
     "latest_state": f"select job_id, status, stage, percent, chunk, message, ts, n_updates from (select *, row_number() over (partition by job_id order by ts desc, event_id desc) as rn, count(*) over (partition by job_id) as n_updates from {LOG}) where rn = 1",
     "job_view": f"select job_id, status, stage, case when status = 'completed' then 100.0 else coalesce(percent, 0.0) end::double as percent, coalesce(chunk, 0) as chunk, message from (select *, row_number() over (partition by job_id order by ts desc, event_id desc) as rn from {LOG}) where rn = 1",
     "progress_changes": f"select job_id, event_id, status, stage from (select *, lag(stage) {ORDER} as b, row_number() {ORDER} as rn from {LOG}) where rn = 1 or stage <> b",
+    "state_changes": f"""select job_id, event_id, status, stage, percent, chunk, message from (
+  select *, lag({{'a': status, 'b': stage, 'c': percent, 'd': chunk, 'e': message}}) {ORDER} as b, row_number() {ORDER} as rn from {LOG})
+where rn = 1 or b is distinct from {{'a': status, 'b': stage, 'c': percent, 'd': chunk, 'e': message}}""",
+    "open_stalls": f"""select job_id, status, ts, epoch_us((select max(ts) from events)) - epoch_us(ts) as silent_us from (
+  select *, row_number() over (partition by job_id order by ts desc, event_id desc) as rn from {LOG})
+where rn = 1 and status is distinct from 'completed' and status is distinct from 'failed' and status is distinct from 'cancelled'
+and epoch_us((select max(ts) from events)) - epoch_us(ts) > 3600000000""",
+    "user_jobs": f"select user_id, job_id, created_at from {JOBS} where user_id = 7 order by created_at desc, job_id limit 10 offset 1",
+    "own_job": f"select job_id, user_id, 'owner' as asked_by from {JOBS} where job_id = 7",
+    "voices_of_language": f"select lang_code, lang_name, string_agg(distinct voice, ',' order by voice) as voices from {ROUTED} group by all",
+    "commit_and_read": f"with {RUN_ROWS} select doc_id, chunk_idx, case when doc_id % 3 = 0 then text || '!' else text end as text from chunks",
+    "spoken_seconds": f"select doc_id, round({words('text')} / 150.0::double * 60.0::double, 6) as seconds from documents",
     "job_feed": f"select job_id, event_id, status from (select *, coalesce(sum((status in ('completed', 'failed', 'cancelled'))::int) over (partition by job_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as ended from {LOG}) where ended = 0",
     "stalled_jobs": f"select job_id, event_id, ts, next_ts, gap_us from (select *, epoch_us(next_ts) - epoch_us(ts) as gap_us from (select *, lead(ts) {ORDER} as next_ts from {LOG})) where gap_us > 21600000000",
     "illegal_transitions": f"select job_id, event_id, from_status, status from (select *, lag(status) {ORDER} as from_status from {LOG}) where from_status <> status and (from_status, status) not in ("
@@ -531,7 +543,7 @@ select *, floor((epoch_us(started_at) - epoch_us(created_at)) / 1000000)::bigint
     "voice_routing": f"select doc_id, voice, lang_code, lang_name, description from {ROUTED}",
     "voices_by_language": f"select lang_code, lang_name, voice, count(*) as n_docs from {ROUTED} group by all",
     "stream_prepare": f"with {merge_ctes(PARAGRAPHED)} select * from merged",
-    "stream_changes": f"select job_id, event_id, status, stage from (select *, lag(stage) {ORDER} as b, row_number() {ORDER} as rn from {LOG}) where rn = 1 or stage <> b",
+    "stream_changes": f"select job_id, event_id, status, stage from (select *, lag(stage) {ORDER} as b, row_number() {ORDER} as rn from {LOG}) where (rn = 1 or stage <> b) and epoch_ms(ts) < (select epoch_ms(max(ts)) - 3600000 from events)",
     "stream_latest": f"select job_id, status, stage, percent, chunk, message, ts, n_updates from (select *, row_number() over (partition by job_id order by ts desc, event_id desc) as rn, count(*) over (partition by job_id) as n_updates from {LOG}) where rn = 1",
     "stream_dedup": f"select job_id, event_id, stage from {LOG}",
     "stream_stalls": f"""with g as (select *, case when ts - lag(ts) {ORDER} < interval 2 hours then 0 else 1 end as opens from {LOG}),

@@ -23,10 +23,10 @@ from ..operators import toc as O
 from ..operators import voices as V
 from ..operators.clean import clean_documents
 from ..operators.scan import number_block
-from ..session import stage
+from ..session import stage, work_folder
 from ..operators.scoring import paced_model, score_chunks
 from ..sources.files import with_format
-from ..sources.sinks import chapter_listing, export_text, listing_line
+from ..sources.sinks import chapter_listing, export_text, listing_line, write_chunks
 from ..sources.tables import html_sections, read_table, read_texts, with_metadata
 from ..streaming import prepare as P
 from ..streaming import progress as G
@@ -619,6 +619,22 @@ def progress_percent(spark, sf) -> DataFrame:
     return I.run_progress(rows, done, ["doc_id"], "chunk_idx")
 
 
+@query
+def commit_and_read(spark, sf) -> DataFrame:
+    """All chunks are written, those of every third document once more with another text, and all read back."""
+    path = work_folder(spark, "commit-query")
+    rows = X.paragraph_rows(spark, sf).select("doc_id", "chunk_idx", "text")
+    write_chunks(rows, path, buckets=16)
+    again = rows.filter("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit("!")))
+    write_chunks(again, path, buckets=16)
+    return spark.read.parquet(path).select("doc_id", "chunk_idx", "text")
+
+
+@query
+def spoken_seconds(spark, sf) -> DataFrame:
+    return X.documents(spark, sf).select("doc_id", F.round(N.spoken_seconds(F.col("text")), 6).alias("seconds"))
+
+
 # --- job log ---------------------------------------------------------------
 
 STATE = ["status", "stage", "percent", "chunk", "message", "ts"]
@@ -643,6 +659,16 @@ def progress_changes(spark, sf) -> DataFrame:
     return J.progress_changes(log, ["status", "stage"]).select("job_id", "event_id", "status", "stage")
 
 
+@query
+def state_changes(spark, sf) -> DataFrame:
+    return J.progress_changes(X.job_log(spark, sf)).select("job_id", "event_id", *J.CHANGE_FIELDS)
+
+
+@query
+def open_stalls(spark, sf) -> DataFrame:
+    return J.open_stalls(X.job_log(spark, sf), 3600.0).select("job_id", "status", "ts", "silent_us")
+
+
 @query
 def job_feed(spark, sf) -> DataFrame:
     """Updates of every job up to the one that ends it."""
@@ -669,6 +695,20 @@ def jobs_page(spark, sf) -> DataFrame:
     return J.job_pages(X.jobs(spark, sf), limit=5, offset=2).select("user_id", "row_no", "job_id", "created_at")
 
 
+@query
+def user_jobs(spark, sf) -> DataFrame:
+    return J.list_jobs(X.jobs(spark, sf), 7, limit=10, offset=1).select("user_id", "job_id", "created_at")
+
+
+@query
+def own_job(spark, sf) -> DataFrame:
+    """A job is found by its owner only."""
+    jobs = X.jobs(spark, sf)
+    mine = J.owned_job(jobs, 7, jobs["user_id"]).withColumn("asked_by", F.lit("owner"))
+    other = J.owned_job(jobs, 7, jobs["user_id"] + 1).withColumn("asked_by", F.lit("other"))
+    return mine.unionByName(other).select("job_id", "user_id", "asked_by")
+
+
 @query
 def pending_jobs(spark, sf) -> DataFrame:
     accepted, _ = J.split_requests(J.pending_jobs(X.jobs(spark, sf)))
@@ -760,6 +800,12 @@ def voices_by_language(spark, sf) -> DataFrame:
     )
 
 
+@query
+def voices_of_language(spark, sf) -> DataFrame:
+    used = V.voices_by_language(V.route_voices(_voiced(spark, sf)))
+    return used.select("lang_code", "lang_name", F.array_join("voices", ",").alias("voices"))
+
+
 # --- streams ---------------------------------------------------------------
 
 
@@ -777,7 +823,7 @@ def stream_prepare(spark, sf) -> DataFrame:
 @query
 def stream_changes(spark, sf) -> DataFrame:
     stream = X.as_job_log(P.file_stream(spark, sf, "events"))
-    return G.change_feed_table(spark, stream, ["status", "stage"], forget_ended=False).select(
+    return G.change_feed_table(spark, stream, "1 hour", ["status", "stage"]).select(
         "job_id", "event_id", "status", "stage"
     )
 
@@ -799,4 +845,4 @@ def stream_dedup(spark, sf) -> DataFrame:
 @query
 def stream_stalls(spark, sf) -> DataFrame:
     stream = X.as_job_log(P.file_stream(spark, sf, "events"))
-    return P.streamed_table(spark, P.quiet_sessions(stream, gap="2 hours"), "stalls")
+    return P.streamed_table(spark, P.quiet_sessions(stream, "0 seconds", gap="2 hours"), "stalls")

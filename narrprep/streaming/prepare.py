@@ -81,11 +81,14 @@ def without_repeats(stream: DataFrame, keys: list[str], ts: str = "ts", delay: s
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def quiet_sessions(stream: DataFrame, key: str = "job_id", ts: str = "ts", gap: str = "15 seconds", delay: str = "0 seconds") -> DataFrame:
+def quiet_sessions(stream: DataFrame, delay: str, key: str = "job_id", ts: str = "ts", gap: str = "15 seconds") -> DataFrame:
     """Runs of updates of a job without a gap longer than ``gap``; each end is a stall.
 
+    Updates may arrive out of order within ``delay``; the engine drops and counts later ones.  A session is sent
+    once the watermark has passed its end; ``operators.jobs.open_stalls`` finds the jobs that fell silent for good.
+
     Sessions are merged in every task before the shuffle, so that a job with
-    very many updates arrives as a few sessions.
+    very many updates arrives as a few sessions; this is a setting of the session.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (

@@ -2,68 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.jobs import CHANGE_FIELDS, TERMINAL, progress_changes
+from ..operators.jobs import CHANGE_FIELDS, TERMINAL
 from ..session import work_folder
-from .prepare import run_to_end
+from .prepare import run_to_end, streamed_table
 
 ORDER = ("ts", "event_id")
+JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+#: Last state sent, whether it ended the job, and the updates that wait for the watermark.
+WAITING = "sent string, ended boolean, at array<bigint>, tie array<bigint>, now array<string>, done array<boolean>, whole array<string>"
 
 
-def start_change_feed(
+def change_feed(
     stream: DataFrame,
-    target: str,
-    state: str,
-    checkpoint: str,
+    delay: str,
     fields: Sequence[str] = CHANGE_FIELDS,
-    forget_ended: bool = True,
-    available_now: bool = True,
-) -> StreamingQuery:
-    """Emit an update when it differs from the one before of the same job.
-
-    A micro-batch goes through the batch operator, which splits a job that
-    sends very many updates.  Between batches only the last row of every job
-    is kept, in a table per batch id: a batch that is run again starts from
-    the table of the batch before it and writes the same rows.  Jobs that
-    have ended are forgotten.
+    forget_ms: int | None = None,
+) -> DataFrame:
+    """Updates that differ from the one before of the same job, in event-time order.
+
+    An update waits in the keyed state of its job until the watermark has passed it, so updates may arrive in any
+    order within ``delay``; the state of a job holds its last state and the updates of that span.  Later ones are
+    dropped by the engine, which counts them in the progress of the query (``numRowsDroppedByWatermark``).  Updates
+    behind the last watermark are sent once it moves on; ``operators.jobs.progress_changes`` gives them for a table
+    that is at rest.  With ``forget_ms`` a job is forgotten that long after the update that ended it.  Updates
+    without a time are dropped; those without a job are one job.
     """
-    spark = stream.sparkSession
-    schema = stream.schema
+    ended = F.col("status").isin(TERMINAL) if "status" in stream.columns else F.lit(False)
+    narrow = stream.withWatermark("ts", delay).select(
+        "job_id",
+        "ts",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        F.coalesce(F.col("event_id").cast("bigint"), F.lit(-1)).alias("tie"),
+        F.to_json(F.struct(*fields), JSON).alias("now"),
+        F.coalesce(ended, F.lit(False)).alias("done"),
+        F.to_json(F.struct(*stream.columns), JSON).alias("whole"),
+    )
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # The state a batch starts from is the one the batch before it wrote.
-        if batch_id == 0:
-            before = spark.createDataFrame([], schema)
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sent, gone, *waiting = state.get if state.exists else (None, False, [], [], [], [], [])
+        rows = list(zip(*waiting, strict=True))
+        for frame in frames:
+            rows.extend(frame[["at", "tie", "now", "done", "whole"]].itertuples(index=False, name=None))
+        rows.sort(key=lambda r: r[:2])
+        watermark = state.getCurrentWatermarkMs()
+        ready = 0
+        changes = []
+        while ready < len(rows) and rows[ready][0] // 1000 < watermark:
+            _, _, now, gone, whole = rows[ready]
+            if now != sent:
+                changes.append(whole)
+            sent, ready = now, ready + 1
+        left = rows[ready:]
+        if state.hasTimedOut and gone and not ready and not left:
+            state.remove()
         else:
-            before = spark.read.schema(schema).parquet(f"{state}/after={batch_id - 1}")
-        rows = batch.withColumn("__old", F.lit(False)).unionByName(before.withColumn("__old", F.lit(True)))
-        changes = progress_changes(rows, fields, ORDER).filter(~F.col("__old")).drop("__old")
-        changes.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-        last = rows.groupBy("job_id").agg(
-            F.max_by(F.struct(*[c for c in schema.names]), F.struct(*ORDER)).alias("s")
-        ).select("s.*")
-        if forget_ended and "status" in schema.names:
-            last = last.filter(~F.col("status").isin(TERMINAL))
-        last.write.mode("overwrite").parquet(f"{state}/after={batch_id}")
-
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+            columns = [list(c) for c in zip(*left, strict=True)] if left else [[], [], [], [], []]
+            kinds = (int, int, str, bool, str)
+            state.update((sent, bool(gone), *[[k(v) for v in c] for k, c in zip(kinds, columns, strict=True)]))
+            if left:
+                state.setTimeoutTimestamp(max(left[0][0] // 1000, watermark + 1))
+            elif gone and forget_ms is not None:
+                state.setTimeoutTimestamp(watermark + 1 + forget_ms)
+        yield pd.DataFrame({"whole": pd.Series(changes, dtype=object)})
+
+    changed = narrow.groupBy("job_id").applyInPandasWithState(
+        step, "whole string", WAITING, "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return changed.select(F.from_json("whole", stream.schema, JSON).alias("r")).select("r.*")
 
 
 def change_feed_table(
-    spark: SparkSession, stream: DataFrame, fields: Sequence[str] = CHANGE_FIELDS, forget_ended: bool = True
+    spark: SparkSession, stream: DataFrame, delay: str, fields: Sequence[str] = CHANGE_FIELDS
 ) -> DataFrame:
-    folder = work_folder(spark, "changes")
-    query = start_change_feed(
-        stream, f"{folder}/rows", f"{folder}/jobs", f"{folder}/state", fields, forget_ended
-    )
-    run_to_end(query)
-    return spark.read.parquet(f"{folder}/rows").drop("batch_id")
+    """Changes up to the last watermark of everything that is there now, as a table."""
+    return streamed_table(spark, change_feed(stream, delay, fields), "changes")
 
 
 def latest_stream(stream: DataFrame, fields: Sequence[str]) -> DataFrame:

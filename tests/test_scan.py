@@ -69,3 +69,24 @@ def test_rows_of_equal_content_are_kept(spark):
     right = spark.createDataFrame([("a", 0, 9)], "k string, at int, val int")
     got = asof_backward(left, right, ["k"], "pos", "at", ["val"], 10).collect()
     assert [r["val"] for r in got] == [9, 9]
+
+
+@pytest.mark.parametrize("levels, block, fan", [(1, 2, 2), (2, 2, 4), (3, 3, 4)])
+def test_null_keys_and_levels_of_blocks(spark, levels, block, fan):
+    data = [(None if k == "hot" else k, *rest) for k, *rest in rows(4)]
+    df = spark.createDataFrame(data, "k string, pos int, v int, c int")
+    got = ordered_scan(
+        df, ["k"], ["pos"], number_block("pos", block),
+        sum_before={"before": F.col("v")}, last_before={"last": F.col("c")}, previous={"prev": F.col("c")},
+        following={"next": F.col("c")}, group_sum={"total": F.col("v")}, levels=levels, fan=fan,
+    )
+    along = "over (partition by k order by pos"
+    df.createOrReplaceTempView("scanned")
+    want = spark.sql(
+        f"select *, coalesce(sum(v) {along} rows between unbounded preceding and 1 preceding), 0) as before, "
+        f"last(c, true) {along} rows between unbounded preceding and 1 preceding) as last, "
+        f"lag(c) {along}) as prev, lead(c) {along}) as next, sum(v) over (partition by k) as total from scanned"
+    )
+    got = got.select(want.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert got.count() == len(data)

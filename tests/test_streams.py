@@ -68,17 +68,39 @@ def test_prepared_stream_equals_batch(spark, small, tmp_path):
 
 def test_change_feed_over_batches_equals_batch(spark, feed):
     folder, every = feed
-    got = G.change_feed_table(spark, stream_of(spark, folder), ["status", "stage"], forget_ended=False)
+    got = G.change_feed_table(spark, stream_of(spark, folder), "1 minute", ["status", "stage"])
+    passed = T0 + dt.timedelta(seconds=3990 - 60)
+    assert same(got, progress_changes(every, ["status", "stage"]).filter(F.col("ts") < F.lit(passed)))
+
+
+@pytest.fixture
+def disorder(spark, tmp_path):
+    """Folder table of three files, none of them in time order, all spanning the whole time; and all rows."""
+    table = tmp_path / "events.parquet"
+    every = events(spark, 300, 5).withColumn("job_id", F.expr("nullif(job_id, 3)"))
+    for k in (2, 0, 1):
+        every.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(str(table))
+    return P.file_stream(spark, str(tmp_path), "events", files_per_trigger=1), every, str(table)
+
+
+def test_change_feed_in_disorder_equals_batch(spark, disorder):
+    stream, every, table = disorder
+    got = G.change_feed_table(spark, stream, "1 hour", ["status", "stage"])
+    # Nothing of the last hour is sent before the watermark has passed it; the whole log is shorter.
+    assert got.count() == 0
+    later = every.limit(1).withColumn("ts", F.lit(T0 + dt.timedelta(days=1))).withColumn("event_id", F.lit(1000))
+    later.withColumn("job_id", F.lit(77)).coalesce(1).write.mode("append").parquet(table)
+    got = G.change_feed_table(spark, stream, "1 hour", ["status", "stage"])
     assert same(got, progress_changes(every, ["status", "stage"]))
 
 
-def test_change_feed_forgets_jobs_that_ended(spark, tmp_path):
-    rows = [(1, T0, 0, "processing", "a"), (1, T0 + dt.timedelta(seconds=1), 1, "completed", "a")]
+def test_a_job_that_ended_is_sent_once(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(1, at(0), 0, "processing", "a"), (1, at(1), 1, "completed", "a"), (1, at(2), 2, "completed", "a"), (2, at(9), 3, "x", "a")]
     spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(str(tmp_path / "in"))
-    paths = [str(tmp_path / p) for p in ("rows", "jobs", "state")]
-    P.run_to_end(G.start_change_feed(stream_of(spark, str(tmp_path / "in")), *paths, fields=["status", "stage"]))
-    assert spark.read.parquet(paths[0]).count() == 2
-    assert spark.read.schema(LOG).parquet(f"{paths[1]}/after=0").count() == 0
+    feed = G.change_feed(stream_of(spark, str(tmp_path / "in")), "0 seconds", ["status", "stage"], forget_ms=1000)
+    got = P.streamed_table(spark, feed, "test-ended").collect()
+    assert sorted(r["event_id"] for r in got) == [0, 1]
 
 
 def test_latest_state_over_batches(spark, feed):
@@ -101,11 +123,27 @@ def test_sessions_end_at_a_gap(spark, tmp_path):
     at = lambda s: T0 + dt.timedelta(seconds=s)
     rows = [(1, at(0), 0, "p", "a"), (1, at(10), 1, "p", "a"), (1, at(60), 2, "p", "a"), (2, at(500), 3, "p", "a")]
     spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(str(tmp_path / "in"))
-    got = P.streamed_table(spark, P.quiet_sessions(stream_of(spark, str(tmp_path / "in"))), "test-quiet").collect()
+    got = P.streamed_table(spark, P.quiet_sessions(stream_of(spark, str(tmp_path / "in")), "0 seconds"), "test-quiet").collect()
     # The last session is still open.
     assert sorted((r["job_id"], r["session_end"], r["n_updates"]) for r in got) == [(1, at(25), 2), (1, at(75), 1)]
 
 
+def test_sessions_in_disorder_lose_nothing_within_the_delay(spark, disorder):
+    stream, every, table = disorder
+    every.limit(1).withColumn("ts", F.lit(T0 + dt.timedelta(days=1))).coalesce(1).write.mode("append").parquet(table)
+    got = P.streamed_table(spark, P.quiet_sessions(stream, "2 hours", gap="20 seconds"), "test-disorder")
+    assert got.agg(F.sum("n_updates")).first()[0] == every.count()
+
+
+def test_latest_state_in_disorder(spark, disorder):
+    stream, every, _ = disorder
+    got = G.latest_table(spark, stream, ["status", "stage", "event_id"])
+    want = every.groupBy("job_id").agg(
+        F.max_by(F.struct("status", "stage", "event_id"), "event_id").alias("s"), F.count("*").alias("n_updates")
+    ).select("job_id", "s.*", "n_updates")
+    assert same(got, want)
+
+
 def test_listener_sees_batches(spark, feed):
     seen = []
     listener = ProgressListener(seen.append)
