@@ -12,16 +12,17 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, label: str) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour."""
     both = _both_ways(links)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # A written table keeps the grouping out of the join, whose hot partitions Spark then splits.
+    least = stage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), f"{label}-least")
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, label: str) -> DataFrame:
     """Every node and its smaller neighbours are linked to the least of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = stage(links.groupBy("u").agg(F.min("v").alias("m")), f"{label}-least")
     moved = links.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -41,7 +42,8 @@ def components(links: DataFrame, label: str) -> DataFrame:
         if (n, total) == before or not n:
             break
         before = n, total
-        now = stage(_small_star(_large_star(now)), f"{label}-stars")
+        large = stage(_large_star(now, label), f"{label}-large")
+        now = stage(_small_star(large, label), f"{label}-stars")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
