@@ -41,17 +41,18 @@ def assemble(
     order: str,
     text: str,
     block_rows: int = BLOCK_ROWS,
+    first: int = 0,
 ) -> DataFrame:
     """Book text as ordered blocks: sections joined by a blank line.
 
-    A block holds the sections of ``block_rows`` consecutive order values, so
-    no task builds more than that.  A book of up to ``block_rows`` sections is
-    one row; the blocks of a longer one, joined by a blank line in
-    ``block_no`` order, are its whole text.
+    A block holds the sections of ``block_rows`` consecutive order values, the
+    first block those from ``first`` on, so no task builds more than that.  A
+    book whose numbers all lie in one block is one row; the blocks of another,
+    joined by a blank line in ``block_no`` order, are its whole text.
     """
     blocks = (
         sections.filter(F.length(text) > 0)
-        .withColumn("block_no", number_block(order, block_rows))
+        .withColumn("block_no", number_block(F.col(order) - first, block_rows))
         .groupBy(*keys, "block_no")
         .agg(
             F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("parts")

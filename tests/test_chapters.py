@@ -113,6 +113,12 @@ def test_offsets_index_the_assembled_text(spark):
         assert whole[r["char_offset"] : r["char_offset"] + r["n_chars"]] == texts[r["section_num"]]
 
 
+def test_blocks_of_a_book_start_at_the_first_section(spark):
+    df = spark.createDataFrame([("a", i, str(i)) for i in range(1, 9)], "book string, section_num int, text string")
+    blocks = S.assemble(df, ["book"], "section_num", "text", block_rows=4, first=1).orderBy("block_no").collect()
+    assert [(r["block_no"], r["n_sections"]) for r in blocks] == [(0, 4), (1, 4)]
+
+
 def test_toc_levels_and_offsets(spark):
     toc = spark.createDataFrame(
         [("a", 1, " One ", 1), ("a", 2, "Sub", 2), ("a", 1, "Gap", 4), ("a", 1, "Past", 99), ("a", 1, "", 3),
