@@ -223,6 +223,11 @@ def jaccard_join(docs: DataFrame, percent: int = 80, words: int = 5, block: int
 
     ``block`` bounds the shingles that one task indexes at a time (one larger set stands alone).
     """
+    return _grouped(docs, percent, words, block).drop("root")
+
+
+def _grouped(docs: DataFrame, percent: int = 80, words: int = 5, block: int = 1_500_000) -> DataFrame:
+    """``jaccard_join`` with ``root``, the class that names the group of a row; null where there are no words."""
     rows = texts(docs).withColumn("row_text", F.xxhash64("text"))
     salt = 0
     while True:
@@ -291,24 +296,24 @@ def jaccard_join(docs: DataFrame, percent: int = 80, words: int = 5, block: int
     groups = components(links, "jaccard-groups").withColumnRenamed("node", "c")
     rooted = classes.select("c", "doc").join(groups, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    member = stage(rooted.join(least, "root").select("c", "component_id"), "jaccard-members")
+    member = stage(rooted.join(least, "root").select("c", "root", "component_id"), "jaccard-members")
     joined = sets.join(member, "c", "left")
     return joined.select(
         "doc_id", "row_text", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("root")).alias("root"),
     )
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the least id of each group, all columns; of equal rows one stays.
+    """One document of each group, the one with the least id, all columns; of equal rows one stays.
 
-    Documents without words stay.  Where a group has no id at all, one row of each text stays.
+    Documents without words stay.  Groups are told apart by their texts, so two groups that share their least id both
+    keep a document, and a group without any id keeps one.
     """
-    found = stage(jaccard_join(docs, **options), "jaccard-rows")
+    found = stage(_grouped(docs, **options), "jaccard-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_text")
-    group = F.when(F.col("component_id").isNotNull(), F.struct("component_id", F.lit(0).cast("bigint").alias("text")))
-    group = group.otherwise(F.struct(F.lit(None).cast("bigint").alias("component_id"), F.col("row_text").alias("text")))
-    heads = found.filter("n_shingles > 0").groupBy(group.alias("group")).agg(F.min(order).alias("head"))
+    heads = found.filter("n_shingles > 0").groupBy("root").agg(F.min(order).alias("head"))
     heads = heads.select("head.doc_id", "head.row_text")
     empty = found.filter("n_shingles = 0").select("doc_id", "row_text").distinct()
     copies = found.groupBy("doc_id", "row_text").agg(F.count(F.lit(1)).alias("copies"))

@@ -126,6 +126,23 @@ def test_jaccard_join(spark, corpus):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(heads) | set(empty))
 
 
+def test_one_of_each_group_with_shared_and_null_ids(spark):
+    rng = random.Random(11)
+    base = [words(rng, 60) for _ in range(4)]
+    near = [f"{t} y{k}" for k, t in enumerate(base)]
+    rows = [(7, base[0], "a"), (7, base[1], "b"), (8, near[1], "c"), (9, near[0], "d")]
+    rows += [(None, base[2], "e"), (None, near[2], "f"), (None, base[3], "g"), (5, near[3], "h"), (None, None, "i")]
+    sets = sets_of(rows)
+    alike = [{j for j, b in enumerate(sets) if a and 100 * len(a & b) >= 80 * len(a | b)} for a in sets]
+    assert sorted({tuple(sorted(g)) for g in alike if g}) == [(0, 3), (1, 2), (4, 5), (6, 7)]
+    kept = [(r["doc_id"], r["text"]) for r in one_of_each_group(table(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted(
+        [(7, base[0]), (7, base[1]), (5, near[3]), (None, None), *[k for k in kept if k in {(None, base[2]), (None, near[2])}]], key=repr
+    )
+    # One document per group, whichever of the two without an id.
+    assert len(kept) == 5
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + k, 301 + k) for k in range(40)] + [(5, 5), (None, 3)]
