@@ -823,7 +823,7 @@ def stream_prepare(spark, sf) -> DataFrame:
 @query
 def stream_changes(spark, sf) -> DataFrame:
     stream = X.as_job_log(P.file_stream(spark, sf, "events"))
-    return G.change_feed_table(spark, stream, "1 hour", ["status", "stage"]).select(
+    return G.whole_feed_table(spark, stream, ["status", "stage"]).select(
         "job_id", "event_id", "status", "stage"
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.jobs import CHANGE_FIELDS, TERMINAL
+from ..operators.jobs import CHANGE_FIELDS, TERMINAL, progress_changes
 from ..session import work_folder
 from .prepare import run_to_end, streamed_table
 
@@ -85,6 +85,17 @@ def change_feed_table(
     return streamed_table(spark, change_feed(stream, delay, fields), "changes")
 
 
+def whole_feed_table(
+    spark: SparkSession, stream: DataFrame, fields: Sequence[str] = CHANGE_FIELDS
+) -> DataFrame:
+    """All changes of everything that is there now, as a table, in whatever order its files come.
+
+    Updates are kept as they arrive and compared when all are there: nothing is late, and nothing waits for a
+    watermark.  ``change_feed`` is the feed of a log that goes on.
+    """
+    return progress_changes(streamed_table(spark, stream, "arrivals"), fields)
+
+
 def latest_stream(stream: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Latest state of every job as a streaming aggregate (update mode)."""
     return (

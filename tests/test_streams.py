@@ -1,14 +1,19 @@
 """Streams give what the batch operators give, over several micro-batches and restarts."""
 
 import datetime as dt
+import functools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import compare
 from narrprep.operators.chunks import chunk_documents
 from narrprep.operators.jobs import progress_changes
 from narrprep.operators.observe import ProgressListener
+from narrprep.plans.oracle import ORACLE
+from narrprep.plans.queries import QUERIES
 from narrprep.streaming import prepare as P
 from narrprep.streaming import progress as G
 
@@ -94,6 +99,30 @@ def test_change_feed_in_disorder_equals_batch(spark, disorder):
     assert same(got, progress_changes(every, ["status", "stage"]))
 
 
+@pytest.fixture
+def mixed(spark, small, tmp_path, monkeypatch):
+    """The events in six files that all span the whole log, one per micro-batch; folder and a connection to them."""
+    path = tmp_path / "events.parquet"
+    every = spark.read.parquet(f"{small}/events.parquet")
+    for k in (5, 2, 0, 4, 1, 3):
+        every.filter(F.col("event_id") % 6 == k).coalesce(1).write.mode("append").parquet(str(path))
+    monkeypatch.setattr(P, "file_stream", functools.partial(P.file_stream, files_per_trigger=1))
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from '{path}/*.parquet'")
+    return str(tmp_path), duck
+
+
+def equals_sql(spark, mixed, name, sql):
+    got, want = QUERIES[name](spark, mixed[0]).toPandas(), mixed[1].execute(ORACLE[sql]).df()
+    assert len(got) > 0
+    assert compare.canonical(got) == compare.canonical(want)
+
+
+def test_the_registered_feed_is_whole_over_mixed_files(spark, mixed):
+    # The batch query's SQL: the same changes, the last hour included.
+    equals_sql(spark, mixed, "stream_changes", "progress_changes")
+
+
 def test_a_job_that_ended_is_sent_once(spark, tmp_path):
     at = lambda s: T0 + dt.timedelta(seconds=s)
     rows = [(1, at(0), 0, "processing", "a"), (1, at(1), 1, "completed", "a"), (1, at(2), 2, "completed", "a"), (2, at(9), 3, "x", "a")]
