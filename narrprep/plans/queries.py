@@ -845,4 +845,4 @@ def stream_dedup(spark, sf) -> DataFrame:
 @query
 def stream_stalls(spark, sf) -> DataFrame:
     stream = X.as_job_log(P.file_stream(spark, sf, "events"))
-    return P.streamed_table(spark, P.quiet_sessions(stream, "0 seconds", gap="2 hours"), "stalls")
+    return P.quiet_table(spark, stream, "0 seconds", gap="2 hours")

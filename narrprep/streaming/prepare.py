@@ -97,3 +97,15 @@ def quiet_sessions(stream: DataFrame, delay: str, key: str = "job_id", ts: str =
         .agg(F.count(F.lit(1)).alias("n_updates"))
         .select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_updates")
     )
+
+
+def quiet_table(
+    spark: SparkSession, stream: DataFrame, delay: str, key: str = "job_id", ts: str = "ts", gap: str = "15 seconds"
+) -> DataFrame:
+    """Sessions of everything that is there now that ended ``delay`` before the last update, as a table.
+
+    Updates are kept as they arrive and merged when all are there, so no order of the files loses any.
+    """
+    rows = streamed_table(spark, stream, "arrivals")
+    last = rows.agg(F.max(ts) - F.expr(f"interval {delay}")).scalar()
+    return quiet_sessions(rows, delay, key, ts, gap).filter(F.col("session_end") < last)

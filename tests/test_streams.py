@@ -123,6 +123,10 @@ def test_the_registered_feed_is_whole_over_mixed_files(spark, mixed):
     equals_sql(spark, mixed, "stream_changes", "progress_changes")
 
 
+def test_registered_sessions_are_whole_over_mixed_files(spark, mixed):
+    equals_sql(spark, mixed, "stream_stalls", "stream_stalls")
+
+
 def test_a_job_that_ended_is_sent_once(spark, tmp_path):
     at = lambda s: T0 + dt.timedelta(seconds=s)
     rows = [(1, at(0), 0, "processing", "a"), (1, at(1), 1, "completed", "a"), (1, at(2), 2, "completed", "a"), (2, at(9), 3, "x", "a")]
