@@ -6,32 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .common import join_hot
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame, total: int) -> DataFrame:
+    """Links and ``m``, the least neighbour ``v`` of their ``u``; hubs are not gathered in one task."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
+    return join_hot(links, least, "u", "links", total).drop("links")
+
+
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour."""
-    both = _both_ways(links)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    both = _with_least(_both_ways(links), total)
+    return both.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Every node and its smaller neighbours are linked to the least of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = _with_least(links, total)
+    own = moved.filter("v = m").select("u", "v")
+    return moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).distinct()
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for every node of the links ``u``, ``v``.
 
     Large-star and small-star steps take turns until nothing changes; their number grows with the logarithm of the
-    longest path.  A hub with very many links is only grouped with map-side combine and joined to one row.  Links
-    from a node to itself and null ends are left out; repeated links count once.
+    longest path.  Links of a hub are grouped with map-side combine, and its least neighbour is broadcast to them, as
+    ``join_hot`` describes.  Links from a node to itself and null ends are left out; repeated links count once.
     """
     now = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
     now = stage(now, f"{label}-links")
@@ -41,7 +47,9 @@ def components(links: DataFrame, label: str) -> DataFrame:
         if (n, total) == before or not n:
             break
         before = n, total
-        now = stage(_small_star(_large_star(now)), f"{label}-stars")
+        # A star has at most two rows per link, so few thousand hubs are above the bound.
+        large = stage(_large_star(now, n), f"{label}-large")
+        now = stage(_small_star(large, n), f"{label}-small")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

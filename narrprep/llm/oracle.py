@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .line_dedup import line_dedup_sql
+from .merkle import manifest_sql
 from .secret_scan import digest_sql
 
 NGRAM_JACCARD = r"""
@@ -51,4 +52,5 @@ ORACLE = {
     "op3_ngram_jaccard_join": NGRAM_JACCARD,
     "op4_secret_scan": digest_sql(),
     "op7_chat_formatting": CHAT,
+    "op11_merkle_manifest": manifest_sql(),
 }

@@ -10,12 +10,16 @@ from .common import read
 from .decontamination import benchmark_hits
 from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
+from .merkle import documents_manifest
 from .nearest import nearest
 from .quality import quality_scores
 from .quotations import conversations
 from .secret_scan import digest, secret_scan
+from .simhash_dedup import digest as fingerprint_digest
+from .simhash_dedup import simhash_groups
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity_scores
+from .whitening import whiten
 
 
 def tokenizer_path() -> str:
@@ -68,11 +72,24 @@ def op10_best_fit_packing(spark, sf):
     return best_fit_packing(read(spark, sf, "documents"), tokenizer_path())
 
 
+def op11_merkle_manifest(spark, sf):
+    return documents_manifest(read(spark, sf, "documents"))
+
+
+def op12_embedding_whitening(spark, sf):
+    return whiten(read(spark, sf, "embeddings"))
+
+
+def op13_simhash_dedup(spark, sf):
+    return fingerprint_digest(simhash_groups(read(spark, sf, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_line_dedup, op3_ngram_jaccard_join, op4_secret_scan, op5_quality_classifier,
         op6_nearest_neighbours, op7_chat_formatting, op8_toxicity, op9_decontamination, op10_best_fit_packing,
+        op11_merkle_manifest, op12_embedding_whitening, op13_simhash_dedup,
     )
 }
 ORACLE = oracle.ORACLE
