@@ -23,7 +23,7 @@ from ..session import stage
 from .common import broadcast_if_small
 
 #: Binary levels that one stored row spans, and those by which a segment of leaves is larger.
-STRIDE, SPREAD = 8, 4
+STRIDE, SPREAD = 10, 4
 #: Rows of starts (partition, key) that may be broadcast, 40 bytes each.
 SMALL = 1_000_000
 #: Stored rows of an upper level that may be broadcast, about 2**(stride + 1) digests each.
