@@ -51,16 +51,17 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def join_hot(rows: DataFrame, unique: DataFrame, key: str, matches: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with a table that holds each ``key`` once and, in ``matches``, its number of rows.
+def join_hot(rows: DataFrame, unique: DataFrame, keys: str | list[str], matches: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with a table that holds every key once and, in ``matches``, its number of rows.
 
     ``total`` is the number of all ``rows``.  Keys with more than a thousandth of them, which are fewer than a thousand,
     are broadcast; all others are shuffled, and none of those can fill a task.  Keys must not be null.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     many = F.col(matches) > max(total // 1000, 1000)
     hot = F.broadcast(unique.filter(many))
-    rest = rows.join(hot.select(key), key, "left_anti").join(unique.filter(~many), key)
-    return rows.join(hot, key).unionByName(rest)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(unique.filter(~many), keys)
+    return rows.join(hot, keys).unionByName(rest)
 
 
 def text_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

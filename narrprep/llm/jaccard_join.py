@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import arrow_lists, broadcast_if_small, runs, text_buffer, texts
+from .common import arrow_lists, broadcast_if_small, join_hot, runs, text_buffer, texts
 from .components import components
 from .hashing import PIECE, WORDS, mix, shingles, signed, tokens
 
@@ -69,31 +69,26 @@ def _entered(t, d, n, percent: int):
 
 
 def _describe(batches, words: int, percent: int, salt: int):
+    """Size and hashes of every set, and the shingles it is entered under; of equal sets of a batch one lists them."""
     for batch in batches:
-        out = [np.zeros(batch.num_rows, np.int64) for _ in range(4)]
+        out = [np.zeros(batch.num_rows, np.int64) for _ in range(5)]
+        entered, seen = [np.zeros(0, np.uint64)], set()
         for i, k, t, d in _sets(batch, "text", words, salt):
             n, first, second = _class(t, d, k)
-            for column, value in zip(out, (n, signed(first), signed(second), _entered(t, d, n, percent)[1]), strict=True):
+            at, need = _entered(t, d, n, percent)
+            new = np.array([x not in seen and not seen.add(x) for x in first.tolist()], bool) & (n > 0)
+            at = at[new[d[at]]]
+            entered.append(t[at])
+            listed = np.bincount(d[at], minlength=k)
+            for column, value in zip(out, (n, signed(first), signed(second), need, listed), strict=True):
                 column[i : i + k] = value
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row_text"), *map(pa.array, out)],
-            names=["doc_id", "row_text", "n", "c", "c2", "entered"],
+            [batch.column("doc_id"), batch.column("row_text"), *map(pa.array, out[:4]),
+             arrow_lists(signed(np.concatenate(entered)), out[4], pa.int64())],
+            names=["doc_id", "row_text", "n", "c", "c2", "entered", "t"],
         )
 
 
-def _enter(batches, words: int, percent: int, salt: int):
-    for batch in batches:
-        seen: set[int] = set()
-        for _, k, t, d in _sets(batch, "text", words, salt):
-            n, first, _ = _class(t, d, k)
-            new = np.array([x not in seen and not seen.add(x) for x in first.tolist()], bool)
-            at, _ = _entered(t, d, n, percent)
-            at = at[new[d[at]]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(t[at])), pa.array(signed(first[d[at]]))], names=["t", "c"]
-            )
-
-
 def _whole(batches, words: int, salt: int):
     for batch in batches:
         for _, k, t, d in _sets(batch, "text", words, salt):
@@ -201,8 +196,9 @@ def _size_band(n: Column, percent: int) -> Column:
 
 def _neighbourhoods(entries: DataFrame) -> DataFrame:
     """Classes (``node``) with the neighbourhood (``root``) they lie in; classes that meet nobody are left out."""
-    hubs = stage(entries.groupBy("t", "band").agg(F.min("c").alias("hub")), "jaccard-hubs")
-    inside = entries.join(hubs, ["t", "band"]).filter("c <> hub").select(F.col("c").alias("u"), F.col("hub").alias("v"))
+    hubs = stage(entries.groupBy("t", "band").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("held")), "jaccard-hubs")
+    inside = join_hot(entries, hubs, ["t", "band"], "held", hubs.agg(F.sum("held")).first()[0] or 0)
+    inside = inside.filter("c <> hub").select(F.col("c").alias("u"), F.col("hub").alias("v"))
     above = hubs.select("t", (F.col("band") + 1).alias("band"), F.col("hub").alias("u"))
     across = hubs.join(above, ["t", "band"]).select("u", F.col("hub").alias("v"))
     return components(inside.unionByName(across), "jaccard-near")
@@ -234,13 +230,13 @@ def _grouped(docs: DataFrame, percent: int = 80, words: int = 5, block: int = 1_
         sets = stage(
             rows.mapInArrow(
                 partial(_describe, words=words, percent=percent, salt=salt),
-                "doc_id bigint, row_text bigint, n bigint, c bigint, c2 bigint, entered bigint",
+                "doc_id bigint, row_text bigint, n bigint, c bigint, c2 bigint, entered bigint, t array<bigint>",
             ),
             "jaccard-sets",
         )
         classes = sets.filter("n > 0").groupBy("c").agg(
             F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("entered").alias("entered"),
-            F.min("c2").alias("least"), F.max("c2").alias("most"),
+            F.min("c2").alias("least"), F.max("c2").alias("most"), F.count(F.lit(1)).alias("copies"), F.max("t").alias("t"),
         )
         classes = stage(classes, "jaccard-classes")
         # Two different sets with one hash: all hashes are taken anew.
@@ -248,12 +244,12 @@ def _grouped(docs: DataFrame, percent: int = 80, words: int = 5, block: int = 1_
             break
         salt += 1
 
-    every = rows.filter("text <> ''").select("text").mapInArrow(
-        partial(_enter, words=words, percent=percent, salt=salt), "t bigint, c bigint"
-    )
-    met = every.groupBy("t").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("df"))
-    met = stage(met.filter("a <> b").select("t", "df"), "jaccard-met")
-    held = every.join(met, "t").groupBy("c").agg(F.array_sort(F.collect_set(F.struct("df", "t"))).alias("met"))
+    every = classes.select("c", F.explode("t").alias("t"))
+    met = every.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    met = stage(met, "jaccard-met")
+    # Every class has its own row for a shingle; those of one shingle that most classes hold are not gathered.
+    counted = join_hot(every, met, "t", "df", met.agg(F.sum("df")).first()[0] or 0)
+    held = counted.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("met"))
     need = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     prefix = held.join(classes.select("c", "n", "entered"), "c").withColumn(
         "keep", (need - F.col("entered") + F.size("met")).cast("int")
@@ -294,15 +290,16 @@ def _grouped(docs: DataFrame, percent: int = 80, words: int = 5, block: int = 1_
         .applyInArrow(lambda table: _search_block(table, percent), "u bigint, v bigint")
     )
     groups = components(links, "jaccard-groups").withColumnRenamed("node", "c")
-    rooted = classes.select("c", "doc").join(groups, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    member = stage(rooted.join(least, "root").select("c", "root", "component_id"), "jaccard-members")
-    joined = sets.join(member, "c", "left")
-    return joined.select(
-        "doc_id", "row_text", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("root")).alias("root"),
-    )
+    rooted = classes.select("c", "doc", "copies").join(groups, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rooted = stage(rooted, "jaccard-rooted")
+    least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("held"))
+    total = rooted.agg(F.count(F.lit(1)).alias("classes"), F.sum("copies").alias("rows")).first()
+    member = join_hot(rooted, stage(least, "jaccard-least"), "root", "held", total["classes"])
+    member = stage(member.select("c", "copies", "root", "component_id"), "jaccard-members")
+    columns = ["doc_id", "row_text", F.col("n").alias("n_shingles"), "component_id", "root"]
+    joined = join_hot(sets.filter("n > 0").drop("t"), member, "c", "copies", total["rows"] or 0).select(*columns)
+    alone = sets.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("bigint")})
+    return joined.unionByName(alone.select(*columns))
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
