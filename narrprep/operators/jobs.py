@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import TAIL
 from ..functions.text import base_name, suffix
-from .scan import ordered_scan, time_block
+from .scan import effect_of, ordered_scan, states_before, time_block
 from .sections import first_rows
 
 # Job states and the changes between them that are allowed.
@@ -91,18 +92,36 @@ def stalled(
     return scanned.withColumn("gap_us", micros).filter(F.col("gap_us") > int(seconds * 1_000_000))
 
 
-def open_stalls(log: DataFrame, seconds: float = 15.0) -> DataFrame:
+def open_stalls(
+    log: DataFrame, seconds: float = 15.0, log_end: Column | None = None, fields: Sequence[str] = ("status", "stage", "ts")
+) -> DataFrame:
     """Jobs that have not ended and whose last update lies more than ``seconds`` before the end of the log.
 
-    A job that went silent and never came back has no later update to measure a gap by.
+    A job that went silent and never came back has no later update to measure a gap by.  ``log_end`` is the time of the
+    newest update where ``log`` is not the whole log; ``fields`` of the last update are returned, ``status`` and ``ts``
+    among them.
     """
-    last = latest_state(log, ["status", "stage", "ts"])
+    last = latest_state(log, [f for f in fields if f != "job_id"])
     ended = F.coalesce(F.col("status").isin(TERMINAL), F.lit(False))
-    silent = last.filter(~ended).withColumn("log_end", log.agg(F.max("ts")).scalar())
+    end = log.agg(F.max("ts")).scalar() if log_end is None else log_end
+    silent = last.filter(~ended).withColumn("log_end", end)
     micros = F.unix_micros(F.col("log_end").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     return silent.withColumn("silent_us", micros).filter(F.col("silent_us") > int(seconds * 1_000_000))
 
 
+def job_ends(log: DataFrame, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """The update that first ended each job, with ``run_seconds`` since the first update of the job."""
+    position = F.struct(*order)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    first = log.groupBy("job_id").agg(
+        F.min(order[0]).alias("first_ts"),
+        F.min_by(F.struct(*log.columns), F.when(F.col("status").isin(TERMINAL), position)).alias("r"),
+    )
+    return first.filter("r is not null").select("r.*", "first_ts").withColumn(
+        "run_seconds", (micros(F.col(order[0])) - micros(F.col("first_ts"))) / F.lit(1_000_000.0)
+    ).drop("first_ts")
+
+
 def illegal_transitions(log: DataFrame, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """Status changes that are not allowed, such as cancelled to completed."""
     scanned = ordered_scan(
@@ -234,3 +253,80 @@ def apply_updates(current: DataFrame, updates: DataFrame) -> DataFrame:
         F.when(reason.isNull() & (F.col("to_status") == "completed"), F.lit(100.0)).alias("percent"),
         reason.alias("refused"),
     )
+
+
+#: States a job can be in before an update; the last one stands for a job that is not known.
+_KNOWN = [*STATUSES, None]
+
+
+def _after(state: Column, to: Column) -> Column:
+    """Number of the state after an update to state number ``to`` (from 0, null for no state at all)."""
+    width = len(STATUSES)
+    table = [
+        b if a is not None and (a, STATUSES[b]) in TRANSITIONS else k for k, a in enumerate(_KNOWN) for b in range(width)
+    ]
+    return F.coalesce(F.get(F.array(*[F.lit(x) for x in table]), state * width + to), state)
+
+
+def apply_update_log(
+    current: DataFrame,
+    updates: DataFrame,
+    order: Sequence[str] = ("ts", "event_id"),
+    block: Column | None = None,
+    levels: int = 1,
+    fan: int = 1024,
+) -> DataFrame:
+    """Every update of an ordered log with the state before and after it, and the reason where it was refused.
+
+    ``current`` holds ``job_id`` and ``status`` as they stand before the log, ``updates`` holds ``job_id``,
+    ``to_status`` and the order columns (unique per job, not null), any number per job.  A refused update leaves the
+    state as it is.  Returned are ``job_id``, the order columns, ``to_status``, ``from_status``, ``status``,
+    ``percent`` (100 where a job is completed) and ``refused``.  Jobs that are not in ``current`` have no state and all
+    their updates are refused; a null job and a state of another name are none that is known.
+
+    An update maps states to states, and so does any run of updates.  The log of a job is cut into blocks by its order;
+    each block becomes such a map, maps are composed in blocks of ``fan``, and a block is then gone through once more
+    from the state it finds.  So no task holds more than a block of a job, or ``fan`` maps.
+    """
+    order = list(order)
+    block = time_block(order[0]) if block is None else block
+    number = lambda c: F.nullif(F.array_position(F.array(*[F.lit(x) for x in STATUSES]), c), F.lit(0)) - 1
+    name = lambda state: F.get(F.array(*[F.lit(x).cast("string") for x in _KNOWN]), state)
+    key = F.struct(F.col("job_id"))
+    unknown = len(STATUSES)
+    known = current.select(key.alias("key"), F.coalesce(number(F.col("status")), F.lit(unknown)).cast("int").alias("state"))
+    known = known.filter("key.job_id is not null")
+    step = lambda s, u: _after(s, u["to"])
+    update = F.struct(*order, F.coalesce(F.col("to_status"), F.lit("")).alias("to_status"), number(F.col("to_status")).cast("int").alias("to"))
+    cells = updates.groupBy(key.alias("key"), block.alias("no")).agg(F.array_sort(F.collect_list(update)).alias("updates"))
+    runs = cells.select("key", "no", effect_of(F.col("updates"), step, unknown + 1).alias("effect"))
+    cells = cells.join(states_before(runs, known, unknown + 1, unknown, levels, fan), ["key", "no"])
+
+    kind = dict(updates.dtypes)
+    shape = ",".join([*[f"{c}:{kind[c]}" for c in order], "to_status:string", "a:int", "b:int"])
+    zero = F.struct(F.col("state").alias("state"), F.array().cast(f"array<struct<{shape}>>").alias("tail"), F.array().cast(f"array<array<struct<{shape}>>>").alias("done"))
+
+    def replay(acc: Column, u: Column) -> Column:
+        after = _after(acc["state"], u["to"])
+        row = F.struct(*[u[c].alias(c) for c in order], u["to_status"].alias("to_status"), acc["state"].alias("a"), after.alias("b"))
+        full = F.size(acc["tail"]) >= TAIL
+        return F.struct(
+            after.alias("state"),
+            F.when(full, F.array(row)).otherwise(F.concat(acc["tail"], F.array(row))).alias("tail"),
+            F.when(full, F.concat(acc["done"], F.array(acc["tail"]))).otherwise(acc["done"]).alias("done"),
+        )
+
+    told = F.aggregate("updates", zero, replay, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["tail"]))))
+    rows = cells.select("key.job_id", F.inline(told))
+    before, after, to = name(F.col("a")), name(F.col("b")), F.col("to_status")
+    pair = F.concat_ws(">", before, to)
+    allowed = pair.isin([f"{x}>{y}" for x, y in TRANSITIONS])
+    reason = (
+        F.when(before.isNull(), "unknown job")
+        .when((to == "cancelled") & ~can_cancel(before), F.concat(F.lit("too late to cancel, status "), before))
+        .when(~allowed, F.concat(F.lit("Not allowed: "), pair))
+    )
+    return rows.select(
+        "job_id", *order, F.nullif(to, F.lit("")).alias("to_status"), before.alias("from_status"), after.alias("status"),
+        F.when(reason.isNull() & (to == "completed"), F.lit(100.0)).alias("percent"), reason.alias("refused"),
+    )

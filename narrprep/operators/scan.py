@@ -16,6 +16,7 @@ compares nulls as equal: rows with a null key are a group like any other.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,3 +195,48 @@ def asof_backward(
     return scanned.filter("__side = 1").select(
         *left.columns, *[F.col("__found")[v].alias(v) for v in values]
     )
+
+
+def effect_of(steps: Column, step, states: int) -> Column:
+    """What a run of steps does to every state 0 to ``states`` - 1, as an array; ``step(state, item)`` does one."""
+    return F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda s: F.aggregate(steps, s, step))
+
+
+def states_before(
+    runs: DataFrame, start: DataFrame | None, states: int, default: int = 0, levels: int = 1, fan: int = FAN
+) -> DataFrame:
+    """``key``, ``no`` and the ``state`` in which every run of steps finds its group.
+
+    ``runs`` holds ``key`` (a struct, never null itself), ``no`` (its place in the group, unique) and ``effect``
+    (``effect_of``).  A step maps states to states, and so does a run of steps, so runs are composed like steps: in
+    blocks of ``fan`` numbers, ``levels`` times over, and no task holds more than a block of maps.  ``start`` holds
+    ``key`` and ``state`` of the groups that do not begin in state ``default``.
+    """
+    through = lambda s, run: F.get(run["effect"], s)
+    listed = F.array_sort(F.collect_list(F.struct("no", "effect"))).alias("runs")
+    if levels == 0:
+        gathered = runs.groupBy("key").agg(listed)
+        if start is None:
+            gathered = gathered.withColumn("state", F.lit(default))
+        else:
+            gathered = gathered.join(start.select("key", "state"), "key", "left")
+            gathered = gathered.withColumn("state", F.coalesce("state", F.lit(default)))
+    else:
+        gathered = runs.groupBy("key", number_block("no", fan).alias("upper")).agg(listed)
+        above = gathered.select("key", F.col("upper").alias("no"), effect_of(F.col("runs"), through, states).alias("effect"))
+        found = states_before(above, start, states, default, levels - 1, fan).withColumnRenamed("no", "upper")
+        gathered = gathered.join(found, ["key", "upper"])
+    zero = F.struct(F.col("state").cast("int").alias("state"), F.array().cast("array<struct<no:bigint,state:int>>").alias("found"))
+
+    def step(acc: Column, run: Column) -> Column:
+        here = F.struct(run["no"].cast("bigint").alias("no"), acc["state"].alias("state"))
+        return F.struct(through(acc["state"], run).cast("int").alias("state"), F.concat(acc["found"], F.array(here)).alias("found"))
+
+    return gathered.select("key", F.inline(F.aggregate("runs", zero, step, lambda acc: acc["found"])))
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be null, which equal each other; the keys come once."""
+    renamed = right.withColumnsRenamed({k: f"__same_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"__same_{k}")) for k in keys]
+    return left.join(renamed, reduce(lambda a, b: a & b, match)).drop(*[f"__same_{k}" for k in keys])

@@ -371,10 +371,12 @@ _PATHS = """(select '/in/' || source || '/book' || doc_id ||
   case lang when 'en' then '.pdf' when 'fr' then '.EPUB' when 'de' then '.wav' else '' end as path from documents)"""
 
 _TOTAL_CLOCK = "printf('%02d:%02d:%02d', total_samples // 24000 // 3600, total_samples // 24000 % 3600 // 60, total_samples // 24000 % 60)"
-NARRATED = (
-    CLEANED.replace(DAMAGED, BOOKS).rstrip()
-    + f""", {heading_ctes('(select doc_id, clean as text from d)', 'doc_id')}, {span_ctes('doc_id')},
-{merge_ctes('(select doc_id, clean as text from d)').lstrip()},
+
+
+def narration_ctes(source: str) -> str:
+    """n: chunks of texts ``(doc_id, text)`` with chapter and place in time."""
+    return f"""{heading_ctes(source, 'doc_id')}, {span_ctes('doc_id')},
+{merge_ctes(source).lstrip()},
 n0 as (select m.*, (select max(s.chapter_no) from spans s where s.doc_id = m.doc_id and s.start_char <= p.para_pos and p.para_pos < s.end_char) as chapter_no,
    {samples(words('m.text'))} as n_samples from merged m join paras p on p.doc_id = m.doc_id and p.para_idx = m.para_idx),
 n1 as (select *, last_value(chapter_no ignore nulls) over (partition by doc_id order by chunk_idx rows between unbounded preceding and 1 preceding) as prev from n0),
@@ -383,12 +385,17 @@ n3 as (select *, case when chapter_change and prev is not null then 36000 else 0
 n as (select *, coalesce(sum(cp + n_samples + pp) over (partition by doc_id order by chunk_idx rows between unbounded preceding and 1 preceding), 0)::bigint as marker_sample,
    (sum(cp + n_samples + pp) over (partition by doc_id))::bigint as total_samples from n3)
 """
-)
+
+
+NARRATED = CLEANED.replace(DAMAGED, BOOKS).rstrip() + ", " + narration_ctes("(select doc_id, clean as text from d)")
+BOOK_TEXTS = f"""(select source as doc_id, string_agg(text || chr(10) || chr(10) || 'Oh.' || chr(10) || chr(10) || section_num, chr(10) || chr(10) order by section_num) as text
+  from {SOURCE_SECTIONS} group by source)"""
 
 ORACLE = {
     "narration_summary": NARRATED
     + f"""select d.doc_id, d.detected, (select count(*) from spans s where s.doc_id = d.doc_id) as n_chapters, n_chunks, total_samples, {_TOTAL_CLOCK} as duration
 from d join (select doc_id, count(*) as n_chunks, max(total_samples) as total_samples from n group by doc_id) t on t.doc_id = d.doc_id""",
+    "book_narration": f"with {narration_ctes(BOOK_TEXTS)} select doc_id as source, chunk_idx, text, para_idx, chapter_no, n_samples, marker_sample + cp as start_sample, total_samples from n",
     "narration_chunks": NARRATED + "select doc_id, chunk_idx, text, para_idx, chapter_no, n_samples, marker_sample + cp as start_sample from n",
     "narration_markers": NARRATED
     + f"""select k.doc_id, k.marker_no::int as marker_no, k.chapter_no, s.title, {millis('marker_sample')} as start_ms, {millis('end_sample')} as end_ms
@@ -421,6 +428,14 @@ select job_id, case when refused is null then to_status else status end as statu
     "abbrev_expand": f"with m as (select doc_id, lang, {swap('text', ', ', ', Dr. Sra. no etc. at 5 p.m. (Sept. 3, vs. S.A.) ')} as t from documents) select doc_id, {spoken('t', 'lang')} as clean from m",
     "punctuation_spacing": f"select doc_id, {whitespace(punctuation(numbers(swap('text', ', ', '....then!!what??(so )$5;€6 call 555-123-4567.ok'))))} as clean from documents",
     "rules_apply": f"select doc_id, {_marked_rules(swap('text', ', ', ', no. 5km of SQL for $30 and approx. NATO, '))} as clean from documents",
+    "rules_dictionary": r"""with keys as (select distinct unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) as key from benchmark),
+rules as (select key, 'W' || length(key) || upper(substr(key, 1, 2)) as value from keys where length(key) > 3),
+tokens as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}_]+|[^\p{L}\p{M}\p{Nd}_]+')) as t, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}_]+|[^\p{L}\p{M}\p{Nd}_]+'), 1) as i from documents)
+select d.doc_id, coalesce(c.clean, d.text) as clean from documents d left join (
+  select doc_id, string_agg(coalesce(value, t), '' order by i) as clean from tokens left join rules on key = t group by doc_id) c using (doc_id)""",
+    "observed_cleaning": f"""select detected, count(*) as n_docs, (select count(*) from documents) as seen_rows, (select sum(length(text)) from documents)::bigint as seen_chars,
+  (select max(length(text)) from documents)::bigint as seen_longest, (select count(*) from {detected('documents')} where detected = 'en') as seen_english
+from {detected('documents')} group by detected""",
     "rules_merge": """
 with r as (select 'turn' || turn as dict_id, turn::int as priority,
   case role when 'user' then 'words' when 'assistant' then 'acronyms' else 'patterns' end as kind,
@@ -504,6 +519,14 @@ select page_id, name, regexp_replace(name, '([^.])\\.[^.]+$', '\\1') as stem, lo
     "text_export": f"select doc_id, export from {EXPORT}",
     "export_header": f"select doc_id, {strip('text')} as body from {BOOKS}",
     "pending_chunks": f"with {RUN_ROWS} select doc_id, chunk_idx, text from chunks c where not exists (select 1 from done d where d.doc_id = c.doc_id and d.chunk_idx = c.chunk_idx and d.input_hash = c.input_hash and d.settings_hash = c.settings_hash)",
+    "resume_chunks": f"with {RUN_ROWS} select doc_id, chunk_idx, text from chunks c where not exists (select 1 from done d where (d.doc_id % 2 = 1 or d.chunk_idx % 3 > 0) and d.doc_id = c.doc_id and d.chunk_idx = c.chunk_idx and d.input_hash = c.input_hash and d.settings_hash = c.settings_hash)",
+    "run_manifests": f"""with {RUN_ROWS}, m as (select c.doc_id, count(d.doc_id) as done_chunks, count(*) as total_chunks from chunks c
+  left join done d on (d.doc_id % 2 = 1 or d.chunk_idx % 3 > 0) and d.doc_id = c.doc_id and d.chunk_idx = c.chunk_idx and d.input_hash = c.input_hash and d.settings_hash = c.settings_hash group by c.doc_id)
+select *, done_chunks < total_chunks as unfinished, done_chunks > 0 and done_chunks < total_chunks as started from m""",
+    "store_and_read": f"""with {RUN_ROWS} select doc_id, chunk_idx, case when doc_id % 50 in (3, 9) then text || ';' else text end as text from chunks
+where doc_id % 50 <> 7 and (doc_id % 50 not in (3, 9) or chunk_idx < 3)""",
+    "store_manifest": f"""with {RUN_ROWS} select doc_id, case when doc_id % 50 in (3, 9) then 1 else 0 end as run_no,
+  count(*) filter (doc_id % 50 <> 7 and (doc_id % 50 not in (3, 9) or chunk_idx < 3)) as n_rows from chunks group by doc_id having n_rows > 0""",
     "recover_missing": f"with {RUN_ROWS} select d.doc_id, d.chunk_idx, d.settings_hash from done d join chunks c on d.doc_id = c.doc_id and d.chunk_idx = c.chunk_idx and d.settings_hash = c.settings_hash where length(c.text) > 100",
     "resume_verify": """with r as (select d.doc_id, l.quality, l.toxic from documents d left join labels l using (doc_id)),
 x as (select doc_id, case when quality is null then 'no stored run' when quality = 0 and toxic = 1 then 'stored run has another version'
@@ -530,6 +553,17 @@ and epoch_us((select max(ts) from events)) - epoch_us(ts) > 3600000000""",
     "illegal_transitions": f"select job_id, event_id, from_status, status from (select *, lag(status) {ORDER} as from_status from {LOG}) where from_status <> status and (from_status, status) not in ("
     + ", ".join(f"({lit(a)}, {lit(b)})" for a, b in TRANSITIONS)
     + ")",
+    "job_update_log": f"""with recursive u as (select job_id, event_id, case when chunk % 4 = 0 then 'cancelled' else status end as t, row_number() {ORDER} as rn from {LOG}),
+run as (
+  select job_id, 0::bigint as rn, null::bigint as event_id, null::varchar as t, null::varchar as a, case when job_id % 5 > 0 then 'pending' end as b from u where rn = 1
+  union all
+  select u.job_id, u.rn, u.event_id, u.t, run.b, case when (run.b, u.t) in ({", ".join(f"({lit(a)}, {lit(b)})" for a, b in TRANSITIONS)}) then u.t else run.b end
+  from run join u on u.job_id = run.job_id and u.rn = run.rn + 1)
+select job_id, event_id, a as from_status, b as status,
+  case when a is not null and t = 'completed' and a <> b then 100.0::double end as percent,
+  case when a is null then 'unknown job' when a <> b then null
+    when t = 'cancelled' and a not in ('pending', 'processing') then 'too late to cancel, status ' || a else 'Not allowed: ' || a || '>' || t end as refused
+from run where rn > 0""",
     "job_timings": f"""with t as (select job_id, min(ts) filter (status = 'pending') as created_at, min(ts) filter (status = 'processing') as started_at,
   min(ts) filter (status in ('completed', 'failed', 'cancelled')) as completed_at from {LOG} group by job_id)
 select *, floor((epoch_us(started_at) - epoch_us(created_at)) / 1000000)::bigint as wait_seconds, floor((epoch_us(completed_at) - epoch_us(started_at)) / 1000000)::bigint as run_seconds from t""",
@@ -543,7 +577,17 @@ select *, floor((epoch_us(started_at) - epoch_us(created_at)) / 1000000)::bigint
     "voice_routing": f"select doc_id, voice, lang_code, lang_name, description from {ROUTED}",
     "voices_by_language": f"select lang_code, lang_name, voice, count(*) as n_docs from {ROUTED} group by all",
     "stream_prepare": f"with {merge_ctes(PARAGRAPHED)} select * from merged",
-    "stream_changes": f"select job_id, event_id, status, stage from (select *, lag(stage) {ORDER} as b, row_number() {ORDER} as rn from {LOG}) where (rn = 1 or stage <> b) and epoch_ms(ts) < (select epoch_ms(max(ts)) - 3600000 from events)",
+    "stream_changes": f"select job_id, event_id, status, stage from (select *, lag(stage) {ORDER} as b, row_number() {ORDER} as rn from {LOG}) where rn = 1 or stage <> b",
+    "stream_done": f"""select job_id, event_id, status,
+  case when status = 'completed' then round((epoch_us(ts) - epoch_us(first_ts)) / 1000000.0::double, 3) end as duration_seconds,
+  case when status = 'failed' then message end as error_message
+from (select *, row_number() {ORDER} as rn from (select *, min(ts) over (partition by job_id) as first_ts from {LOG}) where status in ('completed', 'failed', 'cancelled')) where rn = 1""",
+    "stream_silent": f"""with n as (select *, lead(ts) {ORDER} as following from {LOG})
+select job_id, event_id, status, ts, following as next_ts, epoch_us(following) - epoch_us(ts) as gap_us from n
+where epoch_us(following) - epoch_us(ts) > 21600000000
+union all
+select job_id, event_id, status, ts, null, null from n
+where following is null and status not in ('completed', 'failed', 'cancelled') and epoch_us((select max(ts) from events)) - epoch_us(ts) > 21600000000""",
     "stream_latest": f"select job_id, status, stage, percent, chunk, message, ts, n_updates from (select *, row_number() over (partition by job_id order by ts desc, event_id desc) as rn, count(*) over (partition by job_id) as n_updates from {LOG}) where rn = 1",
     "stream_dedup": f"select job_id, event_id, stage from {LOG}",
     "stream_stalls": f"""with g as (select *, case when ts - lag(ts) {ORDER} < interval 2 hours then 0 else 1 end as opens from {LOG}),

@@ -21,15 +21,19 @@ from ..operators import sections as S
 from ..operators import timeline as L
 from ..operators import toc as O
 from ..operators import voices as V
+from ..operators.observe import observed
 from ..operators.clean import clean_documents
 from ..operators.scan import number_block
 from ..session import stage, work_folder
 from ..operators.scoring import paced_model, score_chunks
+from ..sources import store as ST
 from ..sources.files import with_format
 from ..sources.sinks import chapter_listing, export_text, listing_line, write_chunks
 from ..sources.tables import html_sections, read_table, read_texts, with_metadata
+from ..streaming import feeds as D
 from ..streaming import prepare as P
 from ..streaming import progress as G
+from . import books as BK
 from . import inputs as X
 from . import narrate as NP
 
@@ -99,6 +103,35 @@ def rules_apply(spark, sf) -> DataFrame:
     return X.documents(spark, sf).select("doc_id", rules.apply(marked).alias("clean"))
 
 
+@query
+def rules_dictionary(spark, sf) -> DataFrame:
+    """A dictionary of all words of the benchmark items, thousands, applied to all documents."""
+    words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
+    keys = read_table(spark, sf, "benchmark").select(words.alias("key")).filter(F.length("key") > 3).distinct()
+    rules = keys.select(
+        F.lit("benchmark").alias("dict_id"), F.lit(0).alias("priority"), F.lit("words").alias("kind"), "key",
+        F.concat(F.lit("W"), F.length("key").cast("string"), F.upper(F.substring("key", 1, 2))).alias("replacement"), F.lit(0).alias("ord"),
+    )
+    spoken = R.RuleSet.from_table(rules, most=1_000_000)
+    return X.documents(spark, sf).select("doc_id", spoken.apply(F.col("text")).alias("clean"))
+
+
+@query
+def observed_cleaning(spark, sf) -> DataFrame:
+    """What an observer counted while documents were detected and written, one row per language beside its counts."""
+    found = with_language(X.documents(spark, sf))
+    counted, watch = observed(
+        found.select("doc_id", "detected", F.length("text").cast("bigint").alias("n_chars")), "cleaning",
+        chars=F.sum("n_chars"), longest=F.max("n_chars"), english=F.count_if(F.col("detected") == "en"),
+    )
+    rows = stage(counted, "observed")
+    seen = watch.get
+    return rows.groupBy("detected").agg(F.count("*").alias("n_docs")).select(
+        "detected", "n_docs",
+        *[F.lit(seen[k]).cast("bigint").alias(f"seen_{k}") for k in ("rows", "chars", "longest", "english")],
+    )
+
+
 @query
 def rules_merge(spark, sf) -> DataFrame:
     turns = read_table(spark, sf, "conversations")
@@ -392,6 +425,14 @@ def chapter_markers(spark, sf) -> DataFrame:
     return _book_markers(spark, sf)
 
 
+@query
+def book_narration(spark, sf) -> DataFrame:
+    """Books whose sections are many rows, from texts to chunks with chapter and place in time."""
+    sections = X.source_sections(spark, sf).withColumn("text", F.concat("text", F.lit("\n\nOh."), F.lit("\n\n"), F.col("section_num").cast("string")))
+    told = BK.narrate_books(sections, ["source"], "section_num", block_rows=64)
+    return told.select("source", "chunk_idx", "text", "para_idx", "chapter_no", "n_samples", "start_sample", "total_samples")
+
+
 @query
 def marker_metadata(spark, sf) -> DataFrame:
     titled = _book_markers(spark, sf).withColumn(
@@ -590,6 +631,63 @@ def pending_chunks(spark, sf) -> DataFrame:
     return I.pending(X.paragraph_rows(spark, sf), _done(spark, sf)).select("doc_id", "chunk_idx", "text")
 
 
+def _partly_done(spark, sf) -> DataFrame:
+    """Chunk keys of an earlier run that made all chunks of some documents and some chunks of others."""
+    return _done(spark, sf).filter("doc_id % 2 = 1 or chunk_idx % 3 > 0").select(*I.CHUNK_KEY)
+
+
+@query
+def resume_chunks(spark, sf) -> DataFrame:
+    """What an interrupted run still has to make; only texts of documents that are not finished are cut."""
+    docs = X.paragraphed(spark, sf).select("doc_id", "text")
+    inputs = stage(I.input_manifest(docs, X.RUN_HASH), "resume-inputs")
+    done = stage(_partly_done(spark, sf), "resume-done")
+    totals = X.paragraph_rows(spark, sf).groupBy(*I.RUN_KEY).agg(F.count("chunk_idx").alias("total_chunks"))
+    runs = stage(I.run_manifest(done, totals), "resume-runs")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("chunk_idx", "text"))
+
+    return I.resume_chunks(docs, inputs, runs, done, cut).select("doc_id", "chunk_idx", "text")
+
+
+@query
+def run_manifests(spark, sf) -> DataFrame:
+    """Chunks made and to make of every run, and whether it is unfinished."""
+    done = _partly_done(spark, sf)
+    rows = X.paragraph_rows(spark, sf)
+    totals = rows.groupBy(*I.RUN_KEY).agg(F.count("chunk_idx").alias("total_chunks"))
+    runs = stage(I.run_manifest(done, totals), "manifest-runs")
+    todo = I.unfinished(totals, runs).select("doc_id", "started")
+    return runs.join(todo, "doc_id", "left").select(
+        "doc_id", "done_chunks", "total_chunks", F.col("started").isNotNull().alias("unfinished"), F.coalesce("started", F.lit(False)).alias("started")
+    )
+
+
+def _stored(spark, sf) -> str:
+    """Chunks stored in four runs: all; some documents anew; some emptied; and some more behind a compaction."""
+    path = work_folder(spark, "store-query")
+    rows = stage(X.paragraph_rows(spark, sf).select("doc_id", "chunk_idx", "text"), "store-rows")
+    again = lambda rest, mark: rows.filter(F.col("doc_id") % 50 == rest).withColumn("text", F.concat("text", F.lit(mark)))
+    ST.append_run(rows, path)
+    ST.append_run(again(3, "!").filter("chunk_idx % 2 = 0"), path)
+    ST.append_run(again(7, "?").filter("false"), path, documents=again(7, "?").select("doc_id").distinct())
+    ST.compact(spark, path)
+    ST.append_run(again(3, ";").unionByName(again(9, ";")).filter("chunk_idx < 3"), path)
+    return path
+
+
+@query
+def store_and_read(spark, sf) -> DataFrame:
+    return ST.read_store(spark, _stored(spark, sf)).select("doc_id", "chunk_idx", "text")
+
+
+@query
+def store_manifest(spark, sf) -> DataFrame:
+    """Documents of the store as its newest run holds them."""
+    return ST.stored_documents(spark, _stored(spark, sf)).filter("not replaced").select("doc_id", "run_no", "n_rows")
+
+
 @query
 def recover_missing(spark, sf) -> DataFrame:
     stored = X.paragraph_rows(spark, sf).filter(F.length("text") > 100)
@@ -746,6 +844,15 @@ def job_updates(spark, sf) -> DataFrame:
     return J.apply_updates(X.jobs(spark, sf), updates)
 
 
+@query
+def job_update_log(spark, sf) -> DataFrame:
+    """Every event as an update of its job, which begins as pending; many are refused."""
+    log = X.job_log(spark, sf)
+    updates = log.select("job_id", "ts", "event_id", F.when(F.col("chunk") % 4 == 0, "cancelled").otherwise(F.col("status")).alias("to_status"))
+    current = log.filter("job_id % 5 > 0").select("job_id").distinct().withColumn("status", F.lit("pending"))
+    return J.apply_update_log(current, updates).select("job_id", "event_id", "from_status", "status", "percent", "refused")
+
+
 @query
 def update_times(spark, sf) -> DataFrame:
     return X.job_log(spark, sf).select("event_id", N.iso_utc(F.col("ts")).alias("updated_at"))
@@ -823,11 +930,31 @@ def stream_prepare(spark, sf) -> DataFrame:
 @query
 def stream_changes(spark, sf) -> DataFrame:
     stream = X.as_job_log(P.file_stream(spark, sf, "events"))
-    return G.whole_feed_table(spark, stream, ["status", "stage"]).select(
+    return D.change_table(spark, stream, X.job_log(spark, sf), "1 hour", ["status", "stage"]).select(
         "job_id", "event_id", "status", "stage"
     )
 
 
+@query
+def stream_done(spark, sf) -> DataFrame:
+    """The last row of the feed of every job that ended: how long it ran, or why it failed."""
+    stream = X.as_job_log(P.file_stream(spark, sf, "events"))
+    ends = D.done_table(spark, stream, X.job_log(spark, sf), "1 hour")
+    return ends.select(
+        "job_id", "event_id", "status",
+        F.when(F.col("status") == "completed", F.round("run_seconds", 3)).alias("duration_seconds"),
+        F.when(F.col("status") == "failed", F.col("message")).alias("error_message"),
+    )
+
+
+@query
+def stream_silent(spark, sf) -> DataFrame:
+    """Gaps of more than six hours, and jobs that are silent for so long at the end of the log."""
+    stream = X.as_job_log(P.file_stream(spark, sf, "events"))
+    found = D.stall_table(spark, stream, X.job_log(spark, sf), "1 hour", 6 * 3600.0)
+    return found.select("job_id", "event_id", "status", "ts", "next_ts", "gap_us")
+
+
 @query
 def stream_latest(spark, sf) -> DataFrame:
     stream = X.as_job_log(P.file_stream(spark, sf, "events"))

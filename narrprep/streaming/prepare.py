@@ -81,21 +81,25 @@ def without_repeats(stream: DataFrame, keys: list[str], ts: str = "ts", delay: s
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def quiet_sessions(stream: DataFrame, delay: str, key: str = "job_id", ts: str = "ts", gap: str = "15 seconds") -> DataFrame:
+def quiet_sessions(
+    stream: DataFrame, delay: str, key: str = "job_id", ts: str = "ts", gap: str = "15 seconds", last: str | None = None
+) -> DataFrame:
     """Runs of updates of a job without a gap longer than ``gap``; each end is a stall.
 
     Updates may arrive out of order within ``delay``; the engine drops and counts later ones.  A session is sent
     once the watermark has passed its end; ``operators.jobs.open_stalls`` finds the jobs that fell silent for good.
 
     Sessions are merged in every task before the shuffle, so that a job with
-    very many updates arrives as a few sessions; this is a setting of the session.
+    very many updates arrives as a few sessions; this is a setting of the session.  ``last`` names a column for the
+    newest update of a session: filter by it in a batch, not by ``session_end``, which the optimizer would apply to
+    single updates.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         stream.withWatermark(ts, delay)
         .groupBy(F.session_window(ts, gap).alias("w"), key)
-        .agg(F.count(F.lit(1)).alias("n_updates"))
-        .select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_updates")
+        .agg(F.count(F.lit(1)).alias("n_updates"), *([F.max(ts).alias(last)] if last else []))
+        .select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_updates", *([last] if last else []))
     )
 
 
@@ -107,5 +111,7 @@ def quiet_table(
     Updates are kept as they arrive and merged when all are there, so no order of the files loses any.
     """
     rows = streamed_table(spark, stream, "arrivals")
-    last = rows.agg(F.max(ts) - F.expr(f"interval {delay}")).scalar()
-    return quiet_sessions(rows, delay, key, ts, gap).filter(F.col("session_end") < last)
+    limit = rows.agg(F.max(ts) - F.expr(f"interval {delay}") - F.expr(f"interval {gap}")).scalar()
+    # The end of a session is a grouping column, and a condition on it would be moved below the merge, to single updates.
+    sessions = quiet_sessions(rows, delay, key, ts, gap, last="last_update")
+    return sessions.filter(F.col("last_update") < limit).drop("last_update")

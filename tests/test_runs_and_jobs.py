@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +138,33 @@ def test_updates_are_refused_with_a_reason(spark):
     }
 
 
+def test_update_logs_equal_a_loop(spark):
+    rng = random.Random(4)
+    names = [*J.STATUSES, "unheard of", None]
+    # Half of all updates belong to one job; jobs 6 and null are not known.
+    rows = [
+        (rng.choice([0, 0, 0, 0, 1, 2, 3, 4, 5, 6, None]), T0 + dt.timedelta(seconds=rng.randrange(4000)), k, rng.choices(names, [3, 9, 1, 1, 1, 2, 1])[0])
+        for k in range(1500)
+    ]
+    state = {0: "pending", 1: "processing", 2: "completed", 3: "pending", 4: "strange", 5: "pending", 9: "failed"}
+    updates = spark.createDataFrame(rows, "job_id int, ts timestamp, event_id int, to_status string")
+    current = spark.createDataFrame([*state.items(), (None, "pending")], "job_id int, status string")
+    now = {k: v if v in J.STATUSES else None for k, v in state.items()}
+    want = {}
+    for job, _, k, to in sorted(rows, key=lambda r: (r[1], r[2])):
+        before = now.get(job)
+        after = to if (before, to) in J.TRANSITIONS else before
+        want[k] = (before, after, 100.0 if before != after and after == "completed" else None, before == after or before is None)
+        if job in now:
+            now[job] = after
+    for block, levels, fan in ((None, 1, 1024), (F.floor(F.unix_seconds("ts") / 50), 2, 4), (F.lit(0).cast("bigint"), 0, 2)):
+        got = J.apply_update_log(current, updates, block=block, levels=levels, fan=fan).collect()
+        assert {r["event_id"]: (r["from_status"], r["status"], r["percent"], r["refused"] is not None) for r in got} == want
+        assert len(got) == len(rows)
+    reasons = {r["refused"].split(":")[0].split(",")[0] for r in got if r["refused"]}
+    assert reasons == {"unknown job", "Not allowed", "too late to cancel"}
+
+
 def test_new_jobs_are_the_same_when_made_again(spark):
     requests = spark.createDataFrame([(7, "up/7/My Book.EPUB", T0, [1, 2]), (7, "up/7/b", T0, [])], "user_id int, upload_key string, created_at timestamp, chapters array<int>")
     a, b = J.new_jobs(requests).collect(), J.new_jobs(requests).collect()

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 import compare
 from narrprep.operators.chunks import chunk_documents
-from narrprep.operators.jobs import progress_changes
+from narrprep.operators.jobs import open_stalls, progress_changes, stalled
 from narrprep.operators.observe import ProgressListener
 from narrprep.plans.oracle import ORACLE
 from narrprep.plans.queries import QUERIES
+from narrprep.streaming import feeds as D
 from narrprep.streaming import prepare as P
 from narrprep.streaming import progress as G
 
@@ -118,9 +119,74 @@ def equals_sql(spark, mixed, name, sql):
     assert compare.canonical(got) == compare.canonical(want)
 
 
-def test_the_registered_feed_is_whole_over_mixed_files(spark, mixed):
-    # The batch query's SQL: the same changes, the last hour included.
-    equals_sql(spark, mixed, "stream_changes", "progress_changes")
+@pytest.mark.parametrize("name", ["stream_changes", "stream_done", "stream_silent"])
+def test_registered_feeds_are_whole_over_mixed_files(spark, mixed, name):
+    equals_sql(spark, mixed, name, name)
+
+
+def test_feeds_of_files_in_order_have_no_late_rows(spark, feed):
+    folder, every = feed
+    told = D.feed_table(spark, stream_of(spark, folder), every, "1 minute", D.Changes(), ["status", "stage"])
+    assert told.filter("kind = 'late'").count() == 0
+    got = told.filter("kind = 'progress'").drop("kind", "micros")
+    assert same(got, progress_changes(every, ["status", "stage"]))
+
+
+def test_late_updates_reach_a_table_of_their_own(spark, disorder):
+    stream, every, _ = disorder
+    told = D.feed_table(spark, stream, every, "1 minute", D.Changes(), ["status", "stage"]).cache()
+    late = told.filter("kind = 'late'")
+    assert 0 < late.count() < every.count()
+    # Taken in time order; nothing is in the feed and among the late ones.
+    assert told.filter("kind = 'progress'").join(late, "event_id").count() == 0
+    # A delay that covers the disorder leaves none.
+    told = D.feed_table(spark, stream, every, "2 hours", D.Changes(), ["status", "stage"])
+    assert told.filter("kind = 'late'").count() == 0
+    assert same(told.filter("kind = 'progress'").drop("kind", "micros"), progress_changes(every, ["status", "stage"]))
+
+
+def test_a_feed_ends_with_the_job(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(1, at(0), 0, "processing", "a"), (1, at(3), 1, "completed", "a"), (1, at(4), 2, "processing", "b"), (None, at(9), 3, "failed", "a"), (2, None, 4, "x", "a")]
+    log = spark.createDataFrame(rows, LOG)
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    told = D.feed_table(spark, stream_of(spark, str(tmp_path / "in")), log, "0 seconds", D.Changes(stop=True), ["status", "stage"])
+    got = sorted((r["event_id"], r["kind"], r["micros"]) for r in told.collect())
+    assert got == [(0, "progress", None), (1, "done", 3_000_000), (1, "progress", None), (3, "done", 0), (3, "progress", None)]
+
+
+def test_silence_is_told_once_and_taken_back(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    # Job 1 falls silent and is heard again, job 2 ends, job 3 stays silent, job 4 is heard to the end.
+    steps = [[(1, at(0), 0, "p", "a"), (2, at(0), 1, "completed", "a"), (3, at(1), 2, "p", "a")], [(4, at(100), 3, "p", "a")], [(4, at(110), 4, "p", "a")],
+             [(1, at(120), 5, "p", "a"), (4, at(121), 6, "p", "a")]]
+    import time
+
+    for rows in steps:
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    log = spark.createDataFrame([r for rows in steps for r in rows], LOG)
+    told = D.feed_table(spark, stream_of(spark, str(tmp_path / "in")), log, "0 seconds", D.Stalls(15_000_000), ["status"])
+    got = sorted((r["job_id"], r["kind"], r["event_id"]) for r in told.collect())
+    assert got == [(1, "gap", 0), (1, "heard", 0), (1, "silent", 0), (3, "silent", 2)]
+
+
+def test_stalls_equal_the_batch(spark, disorder):
+    stream, every, _ = disorder
+    got = D.stall_table(spark, stream, every, "1 minute", 40.0)
+    gaps = stalled(every, 40.0).select(*every.columns, "next_ts", "gap_us")
+    ends = open_stalls(every, 40.0, fields=every.columns)
+    want = gaps.unionByName(ends.select(*every.columns, F.lit(None).cast("timestamp").alias("next_ts"), F.lit(None).cast("bigint").alias("gap_us")))
+    assert got.count() > 0 and same(got, want)
+
+
+def test_sessions_that_straddle_the_limit_are_open(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    # The first update of job 1 lies before the limit, its last one behind; job 2 ended before.
+    rows = [(1, at(80), 0, "p", "a"), (1, at(88), 1, "p", "a"), (2, at(10), 2, "p", "a"), (3, at(100), 3, "p", "a")]
+    spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = P.quiet_table(spark, stream_of(spark, str(tmp_path / "in")), "0 seconds").collect()
+    assert [(r["job_id"], r["n_updates"]) for r in got] == [(2, 1)]
 
 
 def test_registered_sessions_are_whole_over_mixed_files(spark, mixed):
