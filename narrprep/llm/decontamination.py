@@ -62,20 +62,26 @@ class _Sums:
             last, step = self.levels[-1], 1 << (len(self.levels) - 1)
             self.levels.append(last[:-step] + last[step:] if len(last) > step else last[:0])
 
-    def over(self, n: int, starts: np.ndarray) -> np.ndarray:
-        total, offset = None, 0
+    def over(self, n: int, first: int, step: int, many: int) -> np.ndarray:
+        """Ones of ``many`` runs of n rows that begin ``step`` apart."""
+        total, offset = None, first
         for k, level in enumerate(self.levels):
             if n >> k & 1:
-                part = level[starts + offset]
+                part = level[offset : offset + (many - 1) * step + 1 : step]
                 total = part if total is None else total + part
                 offset += 1 << k
         return total
 
 
-def _fingerprints(sums: _Sums, size: int, starts: np.ndarray) -> np.ndarray:
+def _fingerprints(sums: _Sums, size: int, first: int, step: int, many: int) -> np.ndarray:
     n = size - 1
-    ones = sums.over(n, starts)
-    return np.packbits(ones > n // 2, axis=1).view(np.uint64).ravel()
+    return np.packbits(sums.over(n, first, step, many) > n // 2, axis=1).view(np.uint64).ravel()
+
+
+def _values(prints: np.ndarray) -> np.ndarray:
+    """Value of every block, a row per block."""
+    shifts = np.arange(BLOCKS, dtype=np.uint64) * np.uint64(WIDTH)
+    return ((prints[None, :] >> shifts[:, None]) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
 
 
 class Items:
@@ -109,7 +115,7 @@ class Items:
             prints, item, at = [], [], []
             for k in members:
                 starts = np.arange(len(kept[k]) - size + 1)
-                prints.append(_fingerprints(_Sums(_features(kept[k]), size), size, starts))
+                prints.append(_fingerprints(_Sums(_features(kept[k]), size), size, 0, 1, len(starts)))
                 item.append(np.full(len(starts), k))
                 at.append(starts)
             step = max(1, min(self.words[k] - size + 1 for k in members) // 3)
@@ -118,19 +124,14 @@ class Items:
 
     @staticmethod
     def _index(prints: np.ndarray, radius: int):
-        """For each block: first entry per value, and the fingerprints with a value within reach of it."""
+        """Fingerprints, and those with a block value within reach of each: first entry per block and value, all entries."""
         flips = [sum(1 << b for b in bits) for n in range(radius // BLOCKS + 1) for bits in combinations(range(WIDTH), n)]
         flips = np.array(flips, np.int64)
-        tables = []
-        for block in range(BLOCKS):
-            values = (prints >> np.uint64(block * WIDTH)).astype(np.int64) & ((1 << WIDTH) - 1)
-            near = (values[:, None] ^ flips).ravel()
-            owner = np.repeat(np.arange(len(prints)), len(flips))
-            order = np.argsort(near, kind="stable")
-            first = np.zeros((1 << WIDTH) + 1, np.int64)
-            np.cumsum(np.bincount(near, minlength=1 << WIDTH), out=first[1:])
-            tables.append((first, owner[order]))
-        return prints, tables
+        near = ((_values(prints)[:, :, None] ^ flips) + (np.arange(BLOCKS) << WIDTH)[:, None, None]).ravel()
+        owner = np.tile(np.repeat(np.arange(len(prints), dtype=np.int32), len(flips)), BLOCKS)
+        first = np.zeros((BLOCKS << WIDTH) + 1, np.int32)
+        np.cumsum(np.bincount(near, minlength=BLOCKS << WIDTH), out=first[1:])
+        return prints, first, owner[np.argsort(near, kind="stable")]
 
     def search(self, h: np.ndarray, doc: np.ndarray):
         """Candidates in neighbouring texts: item, the word where it would begin, and the text."""
@@ -139,28 +140,35 @@ class Items:
         for a in range(0, max(len(h) - 1, 0), _STEP):
             bits = _features(h[a : a + _STEP + most])
             sums = _Sums(bits, most)
-            for size, step, prints, tables, item, at in self.classes:
-                starts = np.arange(-a % step, min(_STEP, len(bits) - size + 2), step)
-                starts = starts[doc[a + starts] == doc[a + starts + size - 1]]
-                if not len(starts):
+            for size, step, prints, first, owner, item, at in self.classes:
+                begin, end = -a % step, min(_STEP, len(bits) - size + 2)
+                if begin >= end:
                     continue
-                mine = _fingerprints(sums, size, starts)
-                for block, (first, owner) in enumerate(tables):
-                    value = (mine >> np.uint64(block * WIDTH)).astype(np.int64) & ((1 << WIDTH) - 1)
-                    begin = first[value]
-                    n = first[value + 1] - begin
-                    which = np.repeat(np.arange(len(value)), n)
-                    entry = owner[np.arange(len(which)) + np.repeat(begin - (np.cumsum(n) - n), n)]
-                    close = np.bitwise_count(mine[which] ^ prints[entry]) <= self.radius
+                starts = np.arange(begin, end, step)
+                mine = _fingerprints(sums, size, begin, step, len(starts))
+                whole = doc[a + starts] == doc[a + starts + size - 1]
+                if not whole.all():
+                    starts, mine = starts[whole], mine[whole]
+                value = (_values(mine) + (np.arange(BLOCKS) << WIDTH)[:, None]).ravel()
+                low = first[value]
+                n = first[value + 1] - low
+                some = np.flatnonzero(n)
+                low, n = low[some], n[some]
+                which = np.repeat(some, n)
+                which %= max(len(mine), 1)
+                entry = owner[np.arange(len(which)) + np.repeat(low - (np.cumsum(n) - n), n)]
+                close = np.flatnonzero(np.bitwise_count(mine[which] ^ prints[entry]) <= self.radius)
+                if len(close):
                     which, entry = which[close], entry[close]
                     place = a + starts[which]
                     found.append(np.column_stack([item[entry], place - at[entry], doc[place]]))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
-    def similarity(self, item: int, words: np.ndarray) -> float:
-        if not len(words):
+    def similarity(self, item: int, found: np.ndarray) -> float:
+        """Weight of the common shingles over that of all, ``found`` being those of a stretch of text."""
+        if not len(found):
             return 0.0
-        mine = set(shingles(words, np.zeros(len(words), np.int64), 1)[0].tolist())
+        mine = set(found.tolist())
         wanted = self.sets[item]
         common = sum(self.weight[s] for s in mine & wanted)
         union = sum(self.weight.get(s, self.alone) for s in mine | wanted)
@@ -172,12 +180,15 @@ class Items:
             return []
         ends = np.cumsum(np.bincount(doc, minlength=n_docs))
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        # Shingles of all words in a row; those of a stretch of five words or more are neighbours among them.
+        whole = shingles(h, np.zeros(len(h), np.int64), 1)[0]
         for item, start, d in self.search(h, doc).tolist():
             # The window lies in one text; the item may stick out of it.
             low, high = (int(ends[d - 1]) if d else 0), int(ends[d])
             for shift in (0, -1, 1, -2, 2):
                 a, b = max(start + shift, low), min(start + shift + self.words[item], high)
-                found = self.similarity(item, h[a:b])
+                held = whole[a : b - 4] if b - a > 4 else shingles(h[a:b], np.zeros(max(b - a, 0), np.int64), 1)[0]
+                found = self.similarity(item, held)
                 if found >= self.threshold and (found, -a) > best.get((d, item), (0.0, 0, 0))[:2]:
                     best[d, item] = (found, -a, b - a)
                 if found == 1.0 or found < self.threshold / 2:
