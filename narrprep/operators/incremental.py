@@ -55,7 +55,7 @@ def unfinished(inputs: DataFrame, runs: DataFrame) -> DataFrame:
         & (F.col("input_hash") == F.col("run_input"))
         & (F.col("settings_hash") == F.col("run_settings"))
     )
-    todo = inputs.join(known, same, "left").filter(~F.coalesce(F.col("done_chunks") >= F.col("total_chunks"), F.lit(False)))
+    todo = inputs.select(*RUN_KEY).join(known, same, "left").filter(~F.coalesce(F.col("done_chunks") >= F.col("total_chunks"), F.lit(False)))
     return todo.select(*RUN_KEY, F.coalesce(F.col("done_chunks") > 0, F.lit(False)).alias("started"))
 
 

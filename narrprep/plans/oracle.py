@@ -429,7 +429,7 @@ select job_id, case when refused is null then to_status else status end as statu
     "punctuation_spacing": f"select doc_id, {whitespace(punctuation(numbers(swap('text', ', ', '....then!!what??(so )$5;€6 call 555-123-4567.ok'))))} as clean from documents",
     "rules_apply": f"select doc_id, {_marked_rules(swap('text', ', ', ', no. 5km of SQL for $30 and approx. NATO, '))} as clean from documents",
     "rules_dictionary": r"""with keys as (select distinct unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) as key from benchmark),
-rules as (select key, 'W' || length(key) || upper(substr(key, 1, 2)) as value from keys where length(key) > 3),
+rules as (select key, 'W' || length(key) || substr(key, 1, 2) as value from keys where length(key) > 3),
 tokens as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}_]+|[^\p{L}\p{M}\p{Nd}_]+')) as t, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}_]+|[^\p{L}\p{M}\p{Nd}_]+'), 1) as i from documents)
 select d.doc_id, coalesce(c.clean, d.text) as clean from documents d left join (
   select doc_id, string_agg(coalesce(value, t), '' order by i) as clean from tokens left join rules on key = t group by doc_id) c using (doc_id)""",

@@ -110,7 +110,7 @@ def rules_dictionary(spark, sf) -> DataFrame:
     keys = read_table(spark, sf, "benchmark").select(words.alias("key")).filter(F.length("key") > 3).distinct()
     rules = keys.select(
         F.lit("benchmark").alias("dict_id"), F.lit(0).alias("priority"), F.lit("words").alias("kind"), "key",
-        F.concat(F.lit("W"), F.length("key").cast("string"), F.upper(F.substring("key", 1, 2))).alias("replacement"), F.lit(0).alias("ord"),
+        F.concat(F.lit("W"), F.length("key").cast("string"), F.substring("key", 1, 2)).alias("replacement"), F.lit(0).alias("ord"),
     )
     spoken = R.RuleSet.from_table(rules, most=1_000_000)
     return X.documents(spark, sf).select("doc_id", spoken.apply(F.col("text")).alias("clean"))

@@ -29,7 +29,7 @@ def section(rng):
 def sections():
     rng = random.Random(9)
     # One book holds most rows; one is a single row, one has no text, and one has no name.
-    rows = [("long", k * 3, section(rng)) for k in range(120)]
+    rows = [("long", k * 3, section(rng)) for k in range(50)]
     rows += [(b, k, section(rng)) for b in ("short", "other", None) for k in range(7)]
     rows += [("one", 5, "Prologue\n\n" + "\n\n".join(section(rng) for _ in range(9))), ("empty", 1, ""), ("empty", 2, None), ("tiny", 0, "Hi."), ("tiny", 1, "x")]
     rng.shuffle(rows)
