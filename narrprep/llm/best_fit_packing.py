@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import texts
 
-#: Words whose tokens a worker remembers, and the longest word it does.
-REMEMBERED, LONGEST = 600_000, 48
+#: Words whose tokens a worker remembers in each of two generations, and the longest word it does.
+REMEMBERED, LONGEST = 500_000, 48
+#: Marks at the end of a word that the tokenizer parts from letters and digits before them.
+MARKS = ".,;:!?#&"
 #: A character that is a token of its own, put between words that are encoded together.
 BETWEEN = "\x01"
 
@@ -33,15 +35,29 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self._ids(BETWEEN)
         if len(self.between) != 1:
             raise ValueError("the tokenizer has no single token for the character between words")
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: list[str]) -> None:
+        # Positions in the text, which take longer than the tokens, are not asked for.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: set[str]) -> None:
+        """Tokens of new words; of a word that ends in marks they are those of the word without them and of the marks."""
+        parts = {}
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if len(stem) < len(word) <= LONGEST and stem and stem[-1].isalnum():
+                parts[word] = stem, word[len(stem) :]
+        bare = words.difference(parts).union(*parts.values()).difference(self.known)
+        self._encode(list(bare))
+        for word, (stem, marks) in parts.items():
+            self.known[word] = self.known[stem] + self.known[marks]
+
+    def _encode(self, words: list[str]) -> None:
         plain = [w for w in words if BETWEEN not in w]
         for a in range(0, len(plain), 2000):
             some = plain[a : a + 2000]
@@ -62,9 +78,13 @@ class WordTokens:
             split.append(low.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+            # What was not met since the last turn is forgotten.
+            self.older, self.known = self.known, {}
             new = set().union(*split)
-        self._learn(list(new))
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.known.update(again)
+        new.difference_update(again)
+        self._learn(new)
         for text in split:
             yield b"".join(map(self.known.__getitem__, text))
         for word in new:
