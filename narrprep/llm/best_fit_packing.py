@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -23,6 +24,11 @@ MARKS = ".,;:!?#&"
 BETWEEN = "\x01"
 
 
+def _ends_whole(char: str) -> bool:
+    """A letter or digit that still ends in one as the tokenizer writes it, in lower case and composed."""
+    return char.isalnum() and unicodedata.normalize("NFC", char).lower()[-1].isalnum()
+
+
 class WordTokens:
     """Token ids of words, as little-endian bytes.
 
@@ -50,7 +56,7 @@ class WordTokens:
         parts = {}
         for word in words:
             stem = word.rstrip(MARKS)
-            if len(stem) < len(word) <= LONGEST and stem and stem[-1].isalnum():
+            if len(stem) < len(word) <= LONGEST and stem and _ends_whole(stem[-1]):
                 parts[word] = stem, word[len(stem) :]
         bare = words.difference(parts).union(*parts.values()).difference(self.known)
         self._encode(list(bare))

@@ -95,6 +95,19 @@ def test_word_tokens_are_those_of_the_text():
     assert zlib.crc32(b"\x01\0\0\0") == 2583214201
 
 
+def test_word_tokens_with_marks_and_a_full_memory(monkeypatch):
+    monkeypatch.setattr("narrprep.llm.best_fit_packing.REMEMBERED", 300)
+    rng = random.Random(1)
+    letters = "ab é'ñ.,;:!?#&-_'s't're'll09²½一\u0301ἀΣς<|endoftext|>\x01 \t\nİ\u0958"
+    texts = ["".join(rng.choice(letters) for _ in range(60)) for _ in range(600)]
+    texts += ["don't. it's, we're; abc's! <|endoftext|>. x<|endoftext|>abc. ΑΣ. İ? \u0958!", "x" * 100 + "."]
+    tokens_of = WordTokens(tokenizer_path())
+    for at in range(0, len(texts), 20):
+        part = texts[at : at + 20]
+        for text, found in zip(part, tokens_of.texts(part), strict=True):
+            assert found == np.array(tokens_of.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_cells_are_walked_from_the_best():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=6), rng.normal(size=5)
