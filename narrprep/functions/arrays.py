@@ -2,9 +2,9 @@
 
 A document is one row, so anything that is sequential inside a document
 (running offsets, greedy packing) is a fold over an array of lengths in that
-row: no shuffle, no grouping, and rows stay independent.  Appending to one
-ever-growing array inside ``aggregate`` would be quadratic, so results are
-appended to a short tail that is moved to an outer list when it is full.
+row: no shuffle, no grouping, and rows stay independent.  ``aggregate`` copies
+its whole state at every step, arrays element by element, so the numbers a
+fold puts out are noted in one string, whose copy is a block of bytes.
 """
 
 from __future__ import annotations
@@ -34,39 +34,27 @@ def explode_column(df: DataFrame, keep: Sequence[str], array: Column | str, pos:
     return rows.filter(F.col(pos).isNotNull())
 
 
-def _append(acc: Column, item: Column) -> tuple[Column, Column]:
-    full = F.size(acc["tail"]) >= TAIL
-    done = F.when(full, F.concat(acc["done"], F.array(acc["tail"]))).otherwise(acc["done"])
-    tail = F.when(full, F.array(item)).otherwise(F.concat(acc["tail"], F.array(item)))
-    return done, tail
+def _note(out: Column, number: Column) -> Column:
+    return F.concat(out, F.lit(","), number.cast("string"))
 
 
-def _empty() -> tuple[Column, Column]:
-    return (
-        F.array().cast("array<array<bigint>>").alias("done"),
-        F.array().cast("array<bigint>").alias("tail"),
-    )
-
-
-def _finish(acc: Column) -> Column:
-    return F.flatten(F.concat(acc["done"], F.array(acc["tail"])))
+def _noted(acc: Column) -> Column:
+    numbers = F.split(F.substr(acc["out"], F.lit(2)), ",").cast("array<bigint>")
+    return F.when(acc["out"] == "", F.array().cast("array<bigint>")).otherwise(numbers)
 
 
 def running_offsets(lengths: Column, gap: int, first: Column | int = 0) -> Column:
     """Start offset of every element when elements are joined by ``gap`` characters."""
     start = first if isinstance(first, Column) else F.lit(first)
-    done, tail = _empty()
 
     def step(acc: Column, n: Column) -> Column:
-        new_done, new_tail = _append(acc, acc["pos"])
         return F.struct(
             (acc["pos"] + n.cast("bigint") + F.lit(gap).cast("bigint")).alias("pos"),
-            new_done.alias("done"),
-            new_tail.alias("tail"),
+            _note(acc["out"], acc["pos"]).alias("out"),
         )
 
-    zero = F.struct(start.cast("bigint").alias("pos"), done, tail)
-    return F.aggregate(lengths, zero, step, _finish)
+    zero = F.struct(start.cast("bigint").alias("pos"), F.lit("").alias("out"))
+    return F.aggregate(lengths, zero, step, _noted)
 
 
 def group_starts(
@@ -82,30 +70,26 @@ def group_starts(
     item)`` says whether the item opens a new group when the open group holds
     ``cur`` characters.  An item for which ``solo`` holds always stands alone.
     """
-    done, tail = _empty()
     is_solo = solo or (lambda item: F.lit(False))
 
     def step(acc: Column, item: Column) -> Column:
         n = item["n"].cast("bigint")
         opened = (~acc["open"]) | is_solo(item) | opens(acc["cur"], item)
-        new_done, new_tail = _append(acc, acc["pos"])
         first = F.when(acc["pos"] == 1, F.lit(first_extra)).otherwise(F.lit(0)).cast("bigint")
         return F.struct(
             (acc["pos"] + F.lit(1)).cast("bigint").alias("pos"),
             F.when(opened, n + first).otherwise(acc["cur"] + n + F.lit(gap)).cast("bigint").alias("cur"),
             (~is_solo(item)).alias("open"),
-            F.when(opened, new_done).otherwise(acc["done"]).alias("done"),
-            F.when(opened, new_tail).otherwise(acc["tail"]).alias("tail"),
+            F.when(opened, _note(acc["out"], acc["pos"])).otherwise(acc["out"]).alias("out"),
         )
 
     zero = F.struct(
         F.lit(1).cast("bigint").alias("pos"),
         F.lit(0).cast("bigint").alias("cur"),
         F.lit(False).alias("open"),
-        done,
-        tail,
+        F.lit("").alias("out"),
     )
-    return F.aggregate(items, zero, step, _finish)
+    return F.aggregate(items, zero, step, _noted)
 
 
 def slices(items: Column, starts: Column) -> Column:
@@ -127,7 +111,6 @@ def last_start_at(positions: Column, starts: Column) -> Column:
     Both arrays rise; they are merged and scanned once, so nothing is
     compared pairwise.
     """
-    done, tail = _empty()
     marks = F.concat(
         F.transform(
             starts,
@@ -143,12 +126,10 @@ def last_start_at(positions: Column, starts: Column) -> Column:
 
     def step(acc: Column, mark: Column) -> Column:
         is_start = mark["side"] == 0
-        new_done, new_tail = _append(acc, acc["cur"])
         return F.struct(
             F.when(is_start, mark["no"]).otherwise(acc["cur"]).alias("cur"),
-            F.when(is_start, acc["done"]).otherwise(new_done).alias("done"),
-            F.when(is_start, acc["tail"]).otherwise(new_tail).alias("tail"),
+            F.when(is_start, acc["out"]).otherwise(_note(acc["out"], acc["cur"])).alias("out"),
         )
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("cur"), done, tail)
-    return F.aggregate(F.array_sort(marks), zero, step, _finish)
+    zero = F.struct(F.lit(0).cast("bigint").alias("cur"), F.lit("").alias("out"))
+    return F.aggregate(F.array_sort(marks), zero, step, _noted)

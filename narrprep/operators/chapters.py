@@ -19,7 +19,7 @@ def _pieces(text: Column, compat: bool, body) -> Column:
     """Call ``body(pieces, starts)`` with the heading pieces of a text and their offsets."""
 
     def from_split(parts: Column) -> Column:
-        opens = heading_fields(first_line(parts[0]), compat).isNotNull()
+        opens = let(first_line(parts[0]), lambda line: heading_fields(line, compat)).isNotNull()
         pieces = F.when(opens, parts).otherwise(F.slice(parts, F.lit(2), F.size(parts)))
         first = F.when(opens, F.lit(0)).otherwise(F.length(parts[0]))
         return let(
@@ -39,7 +39,7 @@ def heading_array(text: Column, compat: bool = False) -> Column:
     def body(pieces: Column, starts: Column) -> Column:
         def one(piece: Column, i: Column) -> Column:
             return let(
-                heading_fields(first_line(piece), compat),
+                let(first_line(piece), lambda line: heading_fields(line, compat)),
                 lambda h: F.struct(
                     h["title"].alias("title"), h["number"].alias("number"), starts[i].alias("start_char")
                 ),
@@ -68,7 +68,7 @@ def chapter_array(text: Column, min_length: int = MIN_CHAPTER_LENGTH, compat: bo
         def chapter(parts: Column, start: Column) -> Column:
             return let(
                 F.struct(
-                    heading_fields(first_line(parts[0]), compat).alias("h"),
+                    let(first_line(parts[0]), lambda line: heading_fields(line, compat)).alias("h"),
                     F.array_join(parts, "").alias("t"),
                     start.alias("s"),
                 ),

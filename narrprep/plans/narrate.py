@@ -54,7 +54,7 @@ def narration(
                 c["para_idx"].alias("para_idx"),
                 F.nullif(number, F.lit(0)).cast("int").alias("chapter_no"),
                 change.alias("chapter_change"),
-                spoken_samples(word_count(c["text"]), speed).alias("n_samples"),
+                let(word_count(c["text"]), lambda n: spoken_samples(n, speed)).alias("n_samples"),
                 F.when(change & (previous > 0), F.lit(before_chapter)).otherwise(F.lit(0)).alias("before"),
                 F.when(c["paragraph_break_after"], F.lit(after_paragraph)).otherwise(F.lit(0)).alias("after"),
             )

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from narrprep.functions.arrays import TAIL, last_start_at, running_offsets
+from narrprep.functions.arrays import TAIL, group_starts, last_start_at, running_offsets
 from narrprep.functions.packing import force_split, split_long
 from narrprep.operators.chunks import chunk_documents, sentence_rows
 
@@ -93,3 +93,33 @@ def test_folds_longer_than_their_tail(spark):
     assert got == want
     numbers = df.select(last_start_at(F.col("a"), F.expr("sequence(5, 2000, 100)"))).first()[0]
     assert numbers == [0 if x < 5 else (x - 5) // 100 + 1 for x in range(1, n + 1)]
+
+
+def test_folds_carry_no_array(spark):
+    """``aggregate`` copies its state at every step, arrays element by element."""
+    n = 3000
+    lengths = F.sequence(F.lit(1), F.lit(n))
+    items = F.transform(lengths, lambda v: F.struct(v.alias("n")))
+    folds = {
+        "offsets": running_offsets(lengths, 2),
+        "starts": group_starts(items, lambda cur, x: cur + 1 + x["n"] > 2000, 1),
+        "last": last_start_at(lengths, F.array(F.lit(5), F.lit(2000))),
+    }
+    df = spark.range(1).select(*[fold.alias(name) for name, fold in folds.items()])
+    assert "flatten" not in df._jdf.queryExecution().analyzed().toString()
+    row = df.first()
+    at, offsets = 0, []
+    for v in range(1, n + 1):
+        offsets.append(at)
+        at += v + 2
+    starts, cur = [], None
+    for v in range(1, n + 1):
+        if cur is None or cur + 1 + v > 2000:
+            starts.append(v)
+            cur = v
+        else:
+            cur += v + 1
+    assert row.offsets == offsets and row.starts == starts
+    assert row.last == [0 if v < 5 else 1 if v < 2000 else 2 for v in range(1, n + 1)]
+    empty = F.array().cast("array<int>")
+    assert spark.range(1).select(running_offsets(empty, 2).alias("o"), last_start_at(empty, empty).alias("l")).first() == ([], [])
