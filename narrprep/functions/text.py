@@ -79,8 +79,11 @@ def rejoin_hyphenated(c: Column) -> Column:
     The word behind the break is consumed, so of two cuts in a row
     (``a-⏎b-⏎c``) only the first is joined.
     """
-    cut = rf"(?<!{WORD})({WORD}++)-{SPACE}*\n{SPACE}*({WORD}++)"
-    return _where(c, ["-"], lambda t: F.regexp_replace(t, cut, "$1$2"))
+    # The hyphen stands first and is looked back from: a search for one character is the fastest.
+    # A look-behind counts a character outside the basic plane as one where it takes two.
+    before = rf"(?<={WORD}-|(?={WORD})[\x{{10000}}-\x{{10FFFF}}][^-]?-)"
+    cut = rf"-{before}(?<!\G-){SPACE}*\n{SPACE}*({WORD}++)"
+    return _where(c, ["-"], lambda t: F.regexp_replace(t, cut, "$1"))
 
 
 def drop_page_artifacts(c: Column) -> Column:
@@ -120,7 +123,9 @@ def normalize_punctuation(c: Column) -> Column:
 def normalize_whitespace(c: Column) -> Column:
     c = _where(c, ["\n\n\n"], lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
     c = _where(c, ["\n"], lambda t: F.regexp_replace(t, r"\n(?<!\n\n)(?!\n)", " "))
-    c = _where(c, ["  ", "\t"], lambda t: F.regexp_replace(t, r"[ \t]+", " "))
+    # A single space stays as it is, so only longer runs and tabs are found.
+    blanks = r"[ \t](?:(?=[ \t])|(?<=\t))[ \t]*+"
+    c = _where(c, ["  ", "\t"], lambda t: F.regexp_replace(t, blanks, " "))
     c = _where(c, [" \n\n", "\n\n "], lambda t: F.regexp_replace(t, r" ?\n\n ?", "\n\n"))
     return strip(c)
 

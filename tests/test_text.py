@@ -115,3 +115,14 @@ def test_progress_line(spark):
     )
     lines = [r[0] for r in df.select(T.progress_line(*[F.col(c) for c in "spmc"])).collect()]
     assert lines == ["[chunking] 12.5% - go", "[chunking] 12.5% - One: go"]
+
+
+@pytest.mark.parametrize("text", ["a-\nb-\nc d-\n e", "\U0001d49c-\nb", "\U0001f600-\nb", "-\nb", "a--\nb", "a-\nb--\nc", "é-\t\n\n\xa0ü-\nz"])
+def test_hyphen_joins_like_the_whole_word_pattern(spark, text):
+    word, space = r"[\p{L}\p{N}_]", r"[\p{IsWhite_Space}\x1c-\x1f]"
+    whole = rf"(?<!{word})({word}++)-{space}*\n{space}*({word}++)"
+    row = spark.createDataFrame([(text,)], "c string").select(
+        T.rejoin_hyphenated(F.col("c")).alias("new"), F.regexp_replace("c", whole, "$1$2").alias("old"),
+        T.normalize_whitespace(F.lit("a\tb \t c  d e")).alias("blank"),
+    ).first()
+    assert row.new == row.old and row.blank == "a b c d e"
