@@ -164,14 +164,16 @@ def assign_chapters(
     keys: Sequence[str],
     position: str,
     block_chars: int = BLOCK_CHARS,
+    n_rows: int = 0,
 ) -> DataFrame:
     """Chapter that holds every position; null before the first chapter.
 
     Spans do not overlap, so the chapter is the last one that starts at or
-    before the position, if it has not ended.
+    before the position, if it has not ended.  ``n_rows`` is the number of
+    positions, if known.
     """
     found = asof_backward(
-        positions, chapters, keys, position, "start_char", ["chapter_no", "end_char"], block_chars
+        positions, chapters, keys, position, "start_char", ["chapter_no", "end_char"], block_chars, n_rows
     )
     inside = F.col("end_char").isNull() | (F.col(position) < F.col("end_char"))
     return found.withColumn("chapter_no", F.when(inside, F.col("chapter_no"))).drop("end_char")

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 BLOCK = "__block"
 #: Block numbers in one block of the next level.
 FAN = 1024
+#: Rows that one task sorts, on average.
+TASK_ROWS = 500_000
 
 
 def number_block(order: Column | str, rows: int) -> Column:
@@ -43,6 +45,18 @@ def cell_of(keys: Sequence[str], block: Column) -> Column:
     return F.struct(block.alias(BLOCK), *[F.col(k) for k in keys])
 
 
+def dealt_cells(df: DataFrame, cell: str, rows: int) -> DataFrame:
+    """``df`` with every cell in one partition, about ``TASK_ROWS`` of the ``rows`` in each.
+
+    Adaptive execution merges partitions by their compressed bytes, and narrow rows of a book take few of them, so that
+    a task would sort more rows the larger the table is.  It leaves a number of partitions that is asked for.
+    """
+    if rows <= TASK_ROWS:
+        return df
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // TASK_ROWS)), cell)
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -56,6 +70,7 @@ def ordered_scan(
     group_sum: Mapping[str, Column] | None = None,
     levels: int = 2,
     fan: int = FAN,
+    n_rows: int = 0,
 ) -> DataFrame:
     """Add ordered columns per group of ``keys``, ordered by ``order`` (unique, not null).
 
@@ -67,7 +82,8 @@ def ordered_scan(
 
     ``block`` must not decrease along ``order``.  Keys may be null.  ``levels``
     counts the levels of blocks; above the last one the summaries of a group
-    are scanned in one task.
+    are scanned in one task.  ``n_rows`` is the number of rows, if known, by
+    which they are dealt out (``dealt_cells``).
     """
     kinds = {
         "sum": dict(sum_before or {}),
@@ -78,7 +94,7 @@ def ordered_scan(
     }
     keys, order = list(keys), list(order)
     cell, number = f"__cell{levels}", f"__block{levels}"
-    rows = df.withColumn(cell, cell_of(keys, block))
+    rows = dealt_cells(df.withColumn(cell, cell_of(keys, block)), cell, n_rows)
     for kind, columns in kinds.items():
         for name, value in columns.items():
             rows = rows.withColumn(f"__{kind}_{name}", value)
@@ -165,12 +181,14 @@ def asof_backward(
     right_pos: str,
     values: Sequence[str],
     block_size: int,
+    n_rows: int = 0,
 ) -> DataFrame:
     """For every left row the right row with the greatest position <= its own.
 
     Both sides become one table ordered by position, right rows first, and the
     last right row is carried forward: no range join, no pairs within a group.
     Of right rows at one position the one that sorts last by ``values`` wins.
+    ``n_rows`` is the number of left rows, if known (``ordered_scan``).
     """
     payload = F.struct(*[F.col(v) for v in values])
     side = [*keys, "__pos", "__side", "__tie", "__hit"]
@@ -190,7 +208,8 @@ def asof_backward(
     both = left_rows.unionByName(right_rows.select(*side), allowMissingColumns=True)
     order = ["__pos", "__side", "__hit", "__tie"]
     scanned = ordered_scan(
-        both, keys, order, number_block("__pos", block_size), last_before={"__found": F.col("__hit")}
+        both, keys, order, number_block("__pos", block_size), last_before={"__found": F.col("__hit")},
+        n_rows=n_rows,
     )
     return scanned.filter("__side = 1").select(
         *left.columns, *[F.col("__found")[v].alias(v) for v in values]

@@ -17,7 +17,7 @@ from ..functions.numbers import (
     spoken_samples,
 )
 from ..functions.text import word_count
-from .scan import BLOCK, FAN, cell_of, number_block, ordered_scan
+from .scan import BLOCK, FAN, cell_of, dealt_cells, number_block, ordered_scan
 
 BLOCK_ROWS = 65_536
 
@@ -36,6 +36,7 @@ def timeline(
     block: Column | None = None,
     paragraph_pause: float = PARAGRAPH_PAUSE,
     chapter_pause: float = CHAPTER_PAUSE,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Start of every chunk: all earlier samples and pauses, plus its own chapter pause.
 
@@ -49,7 +50,11 @@ def timeline(
     second needs the first.  Both are summarised per block in one pass: inside
     a block only the pause of its first chapter is open, and that is settled
     on the block summaries.
+
+    ``n_rows`` is the number of ``chunks``, by which they are dealt out to tasks; without it they are counted, which is
+    one pass more over a table that is not stored.
     """
+    n_rows = chunks.count() if n_rows is None else n_rows
     block = number_block(order[0], BLOCK_ROWS) if block is None else block
     keys, order = list(keys), list(order)
     chapter = F.col("chapter_no")
@@ -62,7 +67,7 @@ def timeline(
         )
 
     rows = (
-        chunks.withColumn("__cell", cell_of(keys, block))
+        dealt_cells(chunks.withColumn("__cell", cell_of(keys, block)), "__cell", n_rows)
         .withColumn("__seen", F.last(chapter, ignorenulls=True).over(earlier))
         .withColumn(
             "paragraph_pause",
@@ -117,12 +122,13 @@ def timeline(
 
 
 def chapter_markers(
-    lines: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None = None
+    lines: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None = None, n_rows: int = 0
 ) -> DataFrame:
     """Start and end of every chapter in samples and milliseconds.
 
     A marker lies before the pause of its chapter and ends where the next one
-    starts, the last one at the end of the book.
+    starts, the last one at the end of the book.  ``n_rows`` is the number of
+    ``lines`` that open a chapter, if known.
     """
     block = number_block(order[0], BLOCK_ROWS) if block is None else block
     opened = lines.filter("chapter_change").select(
@@ -130,7 +136,7 @@ def chapter_markers(
     )
     scanned = ordered_scan(
         opened, keys, order, block,
-        following={"__next": F.col("marker_sample")}, sum_before={"marker_no": F.lit(1)},
+        following={"__next": F.col("marker_sample")}, sum_before={"marker_no": F.lit(1)}, n_rows=n_rows,
     )
     end = F.coalesce("__next", "total_samples")
     return scanned.select(

@@ -96,12 +96,14 @@ def narrate_books(
     packed = stage(rows.select(*keys, "no", "more", "paras_before", "pos_before", pause.alias("pause"), local.alias("local")), "book-packed")
     packed = packed.select(*keys, "no", whole.alias("chunks"))
     merged = stage(merged_across_rows(packed, keys, "no", min_chars, max_chars, block_rows), "book-chunks")
+    n_chunks = merged.count()
     placed = assign_chapters(
         with_durations(merged).select(*keys, "chunk_no", "para_pos", "paragraph_break_after", "n_samples"),
-        chapters.select(*keys, "start_char", "chapter_no", F.lit(None).cast("bigint").alias("end_char")), keys, "para_pos", BLOCK_CHARS,
+        chapters.select(*keys, "start_char", "chapter_no", F.lit(None).cast("bigint").alias("end_char")), keys, "para_pos", BLOCK_CHARS, n_chunks,
     )
     timed = timeline(
-        placed.withColumnRenamed("chunk_no", "place"), keys, ["place"], number_block("place", 65_536), paragraph_pause, chapter_pause
+        placed.withColumnRenamed("chunk_no", "place"), keys, ["place"], number_block("place", 65_536), paragraph_pause, chapter_pause,
+        n_rows=n_chunks,
     ).select(*keys, F.col("place").alias("chunk_no"), "chapter_no", "n_samples", "start_sample", "chapter_change", "marker_sample", "total_samples")
     return join_same(merged.select(*keys, "chunk_no", "text", "para_idx"), timed, [*keys, "chunk_no"]).select(
         *keys, F.col("chunk_no").cast("int").alias("chunk_idx"), "text", "para_idx",

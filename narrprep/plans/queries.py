@@ -417,7 +417,7 @@ def timeline(spark, sf) -> DataFrame:
 
 def _book_markers(spark, sf) -> DataFrame:
     lines = stage(_book_timeline(spark, sf).filter("chapter_change"), "book-openings")
-    return L.chapter_markers(lines, ["source"], BOOK_ORDER, number_block("doc_id", 64))
+    return L.chapter_markers(lines, ["source"], BOOK_ORDER, number_block("doc_id", 64), lines.count())
 
 
 @query

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from narrprep.operators import scan
 from narrprep.operators import timeline as L
 from narrprep.operators.scan import number_block
 from narrprep.session import stage
@@ -50,6 +51,22 @@ def test_timeline_equals_a_loop(spark, block):
         assert totals[book]["total_samples"] == total and totals[book]["n_chunks"] == len(chunks)
 
 
+def test_tasks_sort_no_more_rows_of_a_larger_table(spark, monkeypatch):
+    monkeypatch.setattr(scan, "TASK_ROWS", 1000, raising=False)
+    for n in (10_000, 40_000):
+        df = spark.range(n).select(
+            (F.col("id") % 3).cast("string").alias("book"), F.col("id").alias("chunk_idx"), (F.col("id") / 50).cast("int").alias("chapter_no"),
+            F.lit(1000).cast("bigint").alias("n_samples"), F.lit(False).alias("paragraph_break_after"),
+        )
+        chunks = stage(df, "test-chunks")
+        lines = L.timeline(chunks, ["book"], ["chunk_idx"], number_block("chunk_idx", 20))
+        marks = L.chapter_markers(stage(lines, "test-lines"), ["book"], ["chunk_idx"], number_block("chunk_idx", 20), n_rows=n)
+        for found in (lines, marks):
+            tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+            assert max(tasks) < 2000
+        assert sum(r["total_samples"] for r in lines.select("book", "total_samples").distinct().collect()) == lines.selectExpr("sum(n_samples + chapter_pause)").first()[0]
+
+
 def test_marker_milliseconds_are_cut_off(spark):
     df = spark.createDataFrame([("b", 0, 1, 48_017, False), ("b", 1, 2, 24_000, False)], "book string, chunk_idx int, chapter_no int, n_samples long, paragraph_break_after boolean")
     lines = L.timeline(df, ["book"], ["chunk_idx"])
