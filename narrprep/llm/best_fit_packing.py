@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import texts
+from .common import KEPT, texts
 
 #: Words whose tokens a worker remembers in each of two generations, and the longest word it does.
 REMEMBERED, LONGEST = 500_000, 48
@@ -99,6 +99,7 @@ class WordTokens:
 
 
 _loaded: dict[str, WordTokens] = {}
+KEPT.append(_loaded)
 
 
 def word_tokens(path: str) -> WordTokens:

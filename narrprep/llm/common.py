@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: and rows that are equal in both share one answer.  Neither is ever null.
 ROW = ["row_doc", "row_text"]
 
+#: What Python workers keep from task to task; they live on and run tasks of other steps.
+KEPT: list[dict] = []
+
 
 def read(spark, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
@@ -64,6 +67,13 @@ def join_hot(rows: DataFrame, unique: DataFrame, keys: str | list[str], matches:
     return rows.join(hot, keys).unionByName(rest)
 
 
+def let_go() -> None:
+    """A worker gives back what tasks of other steps have left in it."""
+    for kept in KEPT:
+        kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def text_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts of a batch, and where each begins and ends."""
     if array.null_count:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fresh, held_out, runs, text_buffer, texts
+from .common import fresh, held_out, let_go, runs, text_buffer, texts
 from .hashing import PIECE, mix, tokens
 from .labelled import SAMPLE, training_sample
 
@@ -56,15 +56,18 @@ def index_vectors() -> np.ndarray:
     """Fixed random vector of every bucket: a few entries of plus or minus one."""
     rng = np.random.default_rng(11)
     out = np.zeros((BUCKETS, SIZE), np.float32)
-    at = np.argsort(rng.random((BUCKETS, SIZE)), axis=1)[:, :ENTRIES]
+    rows = 1 << 10  # all rows at once take many times the room of the result
+    at = np.concatenate([np.argsort(rng.random((rows, SIZE)), axis=1)[:, :ENTRIES] for _ in range(BUCKETS // rows)])
     np.put_along_axis(out, at, rng.choice(np.float32([-1, 1]), (BUCKETS, ENTRIES)), axis=1)
     return out
 
 
 def _add_contexts(batches):
+    let_go()
     index = index_vectors()
-    where = np.argsort(-np.abs(index), axis=1, kind="stable")[:, :ENTRIES]
-    sign = np.take_along_axis(index, where, axis=1)
+    where = np.nonzero(index)[1].reshape(BUCKETS, ENTRIES)
+    sign = np.take_along_axis(index, where, axis=1).astype(float)
+    del index
     total = np.zeros(BUCKETS * SIZE)
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
@@ -75,7 +78,7 @@ def _add_contexts(batches):
                 a, b = bucket[:-step][near], bucket[step:][near]
                 for one, other in ((a, b), (b, a)):
                     for k in range(ENTRIES):
-                        total += np.bincount(one * SIZE + where[other, k], sign[other, k], BUCKETS * SIZE)
+                        np.add.at(total, one * SIZE + where[other, k], sign[other, k])
     yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["table"])
 
 
@@ -98,14 +101,15 @@ def pool(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
             continue
         first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         many = np.diff(np.append(first, len(doc)))
-        for a in range(0, len(first), 64):
-            lo, hi = first[a], first[a + 64] if a + 64 < len(first) else len(doc)
-            out[i + doc[first[a : a + 64]]] = np.add.reduceat(vectors[bucket[lo:hi]], first[a : a + 64] - lo, axis=0, dtype=np.float64)
+        for a in range(0, len(first), 16):
+            lo, hi = first[a], first[a + 16] if a + 16 < len(first) else len(doc)
+            out[i + doc[first[a : a + 16]]] = np.add.reduceat(vectors[bucket[lo:hi]], first[a : a + 16] - lo, axis=0, dtype=np.float64)
         out[i + doc[first]] /= many[:, None]
     return out
 
 
 def _pooled(batches, vectors: np.ndarray):
+    let_go()
     for batch in batches:
         x = pool(vectors, *text_buffer(batch.column("text"))).astype(np.float32)
         yield pa.RecordBatch.from_arrays(
@@ -189,6 +193,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most
 
 def _scored(batches, model, text: str, column: str):
     vectors, network = model
+    let_go()
     for batch in batches:
         score = network.score(pool(vectors, *text_buffer(batch.column(text))))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, column])

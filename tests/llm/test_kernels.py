@@ -1,12 +1,15 @@
 """Parts that run inside tasks, against plain statements of the same thing."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from narrprep.llm import best_fit_packing as packing
+from narrprep.llm import quality
 from narrprep.llm.best_fit_packing import WordTokens, best_fit
 from narrprep.llm.common import runs, text_buffer
 from narrprep.llm.hashing import PIECE, WORDS, shingles, tokens
@@ -145,3 +148,30 @@ def test_network_without_usable_labels():
     assert empty.score(np.ones((2, 3))).tolist() == [0.5, 0.5]
     alone = fit_network(np.zeros((9, 3)), np.ones(9, int))
     assert (alone.score(np.ones((2, 3))) > 0.99).all()
+
+
+def test_a_worker_gives_back_what_the_packing_kept():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "label": pa.array([1], pa.int32()), "text": ["a few words, a few more"]})
+    vectors = np.zeros((quality.BUCKETS, quality.SIZE), np.float32)
+    model = vectors, fit_network(np.zeros((0, quality.SIZE)), np.zeros(0, int))
+    for task in (
+        lambda: quality._add_contexts([batch]), lambda: quality._pooled([batch], vectors), lambda: quality._scored([batch], model, "text", "score")
+    ):
+        list(packing._pieces([batch], tokenizer_path(), 4096, 1, False))
+        assert packing._loaded
+        assert [out.num_rows for out in task()] == [1]
+        assert not packing._loaded
+
+
+def test_word_contexts_take_little_room():
+    """Three tables of the result's size stand at once, of which one is the result."""
+    batch = pa.RecordBatch.from_pydict({"text": ["one two three one two"]})
+    tracemalloc.start()
+    (out,) = quality._add_contexts([batch])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    table = np.frombuffer(out.column("table")[0].as_py(), np.float32).reshape(quality.BUCKETS, quality.SIZE)
+    index = quality.index_vectors()
+    word = [quality.stream(*quality.text_buffer(pa.array([w])), 0, 1)[0][0] for w in ("one", "two", "three")]
+    assert (table[word[2]] == 2 * index[word[0]] + 2 * index[word[1]]).all()
+    assert most < 50e6
