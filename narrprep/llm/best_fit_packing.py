@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -19,14 +20,30 @@ from .common import KEPT, texts
 #: Words whose tokens a worker remembers in each of two generations, and the longest word it does.
 REMEMBERED, LONGEST = 500_000, 48
 #: Marks at the end of a word that the tokenizer parts from letters and digits before them.
-MARKS = ".,;:!?#&"
+MARKS = ".,;:!?#&$%*\"()[]{}-_/\\@^`~+="
+#: Letters that stay as they are in lower case and composed; the tokenizer never parts a run of them.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: What the tokenizer puts behind the last token of such a run.
+LAST = "</w>"
 #: A character that is a token of its own, put between words that are encoded together.
 BETWEEN = "\x01"
 
 
 def _ends_whole(char: str) -> bool:
     """A letter or digit that still ends in one as the tokenizer writes it, in lower case and composed."""
-    return char.isalnum() and unicodedata.normalize("NFC", char).lower()[-1].isalnum()
+    return char.isalnum() and (char.isascii() or unicodedata.normalize("NFC", char).lower()[-1].isalnum())
+
+
+def _low(text: str) -> str:
+    """Text without case; names of special tokens and what other letters become are left to the tokenizer."""
+    if "<|" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
 
 
 class WordTokens:
@@ -46,6 +63,9 @@ class WordTokens:
         self.between = self._ids(BETWEEN)
         if len(self.between) != 1:
             raise ValueError("the tokenizer has no single token for the character between words")
+        words = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(words.values(), default=0) + 1, bool)
+        self.last[[n for word, n in words.items() if word.endswith(LAST)]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         # Positions in the text, which take longer than the tokens, are not asked for.
@@ -64,35 +84,47 @@ class WordTokens:
             self.known[word] = self.known[stem] + self.known[marks]
 
     def _encode(self, words: list[str]) -> None:
-        plain = [w for w in words if BETWEEN not in w]
+        runs, rest = [], []
+        for word in words:
+            (runs if LETTERS.fullmatch(word) else rest).append(word)
+        for a in range(0, len(runs), 2000):
+            some = runs[a : a + 2000]
+            ids = self._ids(" ".join(some))
+            ends = np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                self._keep(some, ids, np.append(0, ends[:-1]), ends)
+            else:
+                rest += some
+        plain = [w for w in rest if BETWEEN not in w]
         for a in range(0, len(plain), 2000):
             some = plain[a : a + 2000]
             ids = self._ids(f" {BETWEEN} ".join(some))
             ends = np.append(np.flatnonzero(ids == self.between[0]), len(ids))
-            starts = np.append(0, ends[:-1] + 1)
-            found = ids.tobytes()
-            for word, i, j in zip(some, (starts * 4).tolist(), (ends * 4).tolist(), strict=True):
-                self.known[word] = found[i:j]
-        for word in set(words).difference(plain):
+            self._keep(some, ids, np.append(0, ends[:-1] + 1), ends)
+        for word in set(rest).difference(plain):
             self.known[word] = self._ids(word).tobytes()
 
+    def _keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        found = ids.tobytes()
+        for word, i, j in zip(words, (starts * 4).tolist(), (ends * 4).tolist(), strict=True):
+            self.known[word] = found[i:j]
+
     def texts(self, batch: list[str]) -> Iterator[bytes]:
-        split = []
-        for text in batch:
-            # Names of special tokens are read as written; all else is read without case.
-            low = text.lower() if text.isascii() and "<|" not in text else text
-            split.append(low.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        new = set().union(*split).difference(self.known)
+        split = [_low(text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in batch]
+        found = [list(map(self.known.get, text)) for text in split]
+        gaps = [[i for i, ids in enumerate(row) if ids is None] for row in found]
+        new = {text[i] for text, at in zip(split, gaps, strict=True) for i in at}
         if len(self.known) + len(new) > REMEMBERED:
             # What was not met since the last turn is forgotten.
             self.older, self.known = self.known, {}
-            new = set().union(*split)
         again = {w: self.older[w] for w in new if w in self.older}
         self.known.update(again)
         new.difference_update(again)
         self._learn(new)
-        for text in split:
-            yield b"".join(map(self.known.__getitem__, text))
+        for text, row, at in zip(split, found, gaps, strict=True):
+            for i in at:
+                row[i] = self.known[text[i]]
+            yield b"".join(row)
         for word in new:
             if len(word) > LONGEST:
                 del self.known[word]

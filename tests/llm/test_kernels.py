@@ -111,6 +111,29 @@ def test_word_tokens_with_marks_and_a_full_memory(monkeypatch):
             assert found == np.array(tokens_of.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_runs_of_letters_are_encoded_together_and_marks_once():
+    tokens_of = WordTokens(tokenizer_path())
+    chars = [chr(c) for c in range(1, 0x250)]
+    asked, ids_of = [], tokens_of._ids
+    tokens_of._ids = lambda text: asked.append(text) or ids_of(text)
+    many = ["Été ÉTÉ$$$ größe%%% Größe***. x-- (a) été", "été$$$ größe%%% a\u0301$ \u0410$", " ".join(f"{c} x{c}y {c}{c} x{c}= {c}$" for c in chars)]
+    many += [" ".join(f"{c}s {c}ll{c}t" for c in chars[: 1 + n]) for n in (90, 200, 500)]
+    for text, found in zip(many, tokens_of.texts(many[:2])):
+        assert found == np.array(tokens_of.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    together = [text for text in asked if packing.BETWEEN not in text]
+    assert sorted(together[0].split()) == ["größe", "x", "été"]
+    for text, found in zip(many, tokens_of.texts(many), strict=True):
+        assert found == np.array(tokens_of.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_letters_that_a_tokenizer_parts_are_encoded_one_by_one():
+    tokens_of = WordTokens(tokenizer_path())
+    tokens_of.last[:] = False
+    texts = ["some plain words", "été some more"]
+    for text, found in zip(texts, tokens_of.texts(texts), strict=True):
+        assert found == np.array(tokens_of.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_cells_are_walked_from_the_best():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=6), rng.normal(size=5)
