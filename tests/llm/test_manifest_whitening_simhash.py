@@ -328,3 +328,20 @@ def test_components_of_a_hub(spark):
     got = components(spark.createDataFrame(rows, "u bigint, v bigint"), "test-hub").collect()
     want = {k: 0 for k in range(4041)} | {k: k - k % 2 for k in range(10_000, 12_000)}
     assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
+
+
+def test_components_of_linked_hubs_and_few_jobs(spark):
+    # Two hubs that share members and hang together by a chain of large numbers, and two pairs.
+    hubs = [(h, 10_000 + 3 * k) for h in (5_000_000, 7) for k in range(1500)]
+    rows = hubs + [(6_000_000, 5_000_000), (6_000_000, 6_000_001), (1, 2), (3, 4), (4, 3), (9, 9), (8, None)]
+    got = dict(map(tuple, components(spark.createDataFrame(rows, "u bigint, v bigint"), "test-hubs").collect()))
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3} | dict.fromkeys({x for row in rows[:3002] for x in row}, 7)
+    context, name = spark.sparkContext, "test-component-jobs"
+    links = spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "u bigint, v bigint").localCheckpoint()
+    context.setJobGroup(name, name)
+    try:
+        assert sorted(map(tuple, components(links, "test-few").collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+        jobs = len(context.statusTracker().getJobIdsForGroup(name))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 30
