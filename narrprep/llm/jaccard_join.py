@@ -5,8 +5,8 @@
    classes that are similar enough meet under at least one.  A quarter of all shingles (by hash) stands in front,
    rare ones first; a shingle that one class alone holds is entered but never met.  Classes that meet nobody are
    done, which are nearly all of ordinary text.
-3. Classes that can reach each other over entries of like set size form a neighbourhood.  Neighbourhoods are dealt
-   into blocks of bounded size; a large one is cut into parts, and every two parts make a block.
+3. Classes of like set size that meet one class under their entries form a neighbourhood; a class may lie in several.
+   Neighbourhoods are dealt into blocks of bounded size; a large one is cut into parts, and every two parts make a block.
 4. In a block an inverted index over whole shingle sets is searched with DivideSkip: for a class with threshold T
    the L longest lists are left aside, the short ones are merged by counting, classes with T - L hits are looked up
    in the long lists by binary search, and what reaches the exact overlap is a link.  Classes that are linked
@@ -20,7 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -195,13 +195,32 @@ def _size_band(n: Column, percent: int) -> Column:
 
 
 def _neighbourhoods(entries: DataFrame) -> DataFrame:
-    """Classes (``node``) with the neighbourhood (``root``) they lie in; classes that meet nobody are left out."""
-    hubs = stage(entries.groupBy("t", "band").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("held")), "jaccard-hubs")
-    inside = join_hot(entries, hubs, ["t", "band"], "held", hubs.agg(F.sum("held")).first()[0] or 0)
-    inside = inside.filter("c <> hub").select(F.col("c").alias("u"), F.col("hub").alias("v"))
-    above = hubs.select("t", (F.col("band") + 1).alias("band"), F.col("hub").alias("u"))
-    across = hubs.join(above, ["t", "band"]).select("u", F.col("hub").alias("v"))
-    return components(inside.unionByName(across), "jaccard-near")
+    """Classes (``node``) with the neighbourhoods (``root``) they lie in; classes that meet nobody are left out.
+
+    A list holds the classes entered under one shingle in one size band, and its head is the least of them.  A class
+    lies in the neighbourhoods of the heads of its own lists and of the lists one band above, so any two classes that
+    meet share the head of one list.  Nothing is followed further: a chain of classes, each of which meets the next,
+    has neighbourhoods of a few classes.  One that lies within the neighbourhood that its head has elsewhere is left out.
+    """
+    next_band = Window.partitionBy("t").orderBy("band")
+    lists = entries.groupBy("t", "band").agg(F.min("c").alias("head"), F.count(F.lit(1)).alias("held")).withColumn(
+        "above", F.when(F.lead("band").over(next_band) == F.col("band") + 1, F.lead("head").over(next_band))
+    )
+    lists = stage(lists, "jaccard-lists")
+    met = join_hot(entries, lists, ["t", "band"], "held", lists.agg(F.sum("held")).first()[0] or 0)
+    heads = F.array_compact(F.array("head", "above"))
+    cells = stage(met.select(F.col("c").alias("node"), F.explode(heads).alias("root")).distinct(), "jaccard-reach")
+    total = cells.count()
+
+    # A head names only neighbourhoods of heads below it, so leaving out goes on to one that stays.
+    into = cells.groupBy(F.col("node").alias("root")).agg(F.min("root").alias("into")).filter("into < root")
+    roots = cells.groupBy("root").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").join(into, "root", "left")
+    roots = stage(roots, "jaccard-roots")
+    elsewhere = cells.withColumnRenamed("root", "into")
+    within = join_hot(cells, roots.filter("into is not null"), "root", "held", total).join(elsewhere, ["node", "into"])
+    within = within.groupBy("root").agg(F.count(F.lit(1)).alias("within"))
+    kept = stage(roots.join(within, "root", "left").filter("within is null or within < held"), "jaccard-kept")
+    return join_hot(cells, kept, "root", "held", total).select("node", "root")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80, words: int = 5, block: int = 1_500_000) -> DataFrame:
@@ -277,9 +296,10 @@ def _grouped(docs: DataFrame, percent: int = 80, words: int = 5, block: int = 1_
         F.col("node").alias("c"), F.col("root").alias("hood"),
         F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
     )
-    cells = stage(few.unionByName(many), "jaccard-cells")
+    cells = stage(few.distinct().unionByName(many), "jaccard-cells")
 
-    wanted = stage(near.select(F.col("node").alias("c")).join(classes, "c").select("c", "doc"), "jaccard-wanted")
+    wanted = near.select(F.col("node").alias("c")).distinct()
+    wanted = stage(wanted.join(classes, "c").select("c", "doc"), "jaccard-wanted")
     size = wanted.count()
     only = broadcast_if_small(wanted.select("doc").distinct(), size, SMALL)
     found = rows.join(only, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi").select("text")

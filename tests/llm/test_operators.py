@@ -14,7 +14,7 @@ from narrprep.llm import queries as Q
 from narrprep.llm.best_fit_packing import best_fit_packing
 from narrprep.llm.components import components
 from narrprep.llm.decontamination import benchmark_hits, decontaminate
-from narrprep.llm.jaccard_join import jaccard_join, one_of_each_group
+from narrprep.llm.jaccard_join import _neighbourhoods, jaccard_join, one_of_each_group
 from narrprep.llm.line_dedup import line_dedup
 from narrprep.llm.nearest import nearest
 from narrprep.llm.quality import keep_good, quality_scores
@@ -127,6 +127,27 @@ def test_jaccard_join(spark, corpus):
     assert by_rows(r["doc_id"] for r in kept.collect()) == by_rows([*heads.values(), *(d for d, _ in empty)])
 
 
+def test_neighbourhoods_do_not_follow_chains(spark):
+    # Class k is entered with k + 1 under shingle k; 300 meets 301 under 1000, one band higher, and so on.
+    entries = [(k + d, 7, k) for k in range(200) for d in (0, 1)]
+    entries += [(300 + k + d, 7 + d, 1000 + k) for k in range(50) for d in (0, 1)]
+    entries += [(c, 3, t) for c in range(500, 520) for t in range(2000, 2030) if (c + t) % 11] + [(600, 7, 5000), (601, 9, 5000)]
+    got = _neighbourhoods(spark.createDataFrame(entries, "c bigint, band int, t bigint")).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r["root"], []).append(r["node"])
+    assert all(len(nodes) == len(set(nodes)) for nodes in held.values())
+    lists = {}
+    for c, band, t in entries:
+        lists.setdefault((t, band), set()).add(c)
+    pairs = {(a, b) for (t, band), low in lists.items() for up in (low, lists.get((t, band + 1), ())) for a in low for b in up if a != b}
+    assert all(any(a in nodes and b in nodes for nodes in held.values()) for a, b in pairs)
+    assert not {600, 601} & {r["node"] for r in got}
+    assert max(len(nodes) for root, nodes in held.items() if root < 500) <= 3
+    # Lists of one group of copies have several heads; one neighbourhood holds them all.
+    assert [len(nodes) for root, nodes in held.items() if root >= 500] == [20]
+
+
 def test_one_of_each_group_with_shared_and_null_ids(spark):
     rng = random.Random(11)
     base = [words(rng, 60) for _ in range(4)]
