@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .charclass import whole
+from .arrays import let
+from .charclass import quote, whole
 
 # English abbreviations and their spoken form.
 ENGLISH = {
@@ -137,12 +138,38 @@ def apply_rules(text: Column, rules: Column) -> Column:
     )
 
 
+def _set_off(rules: list[tuple[str, str]]) -> list[str]:
+    """Keys that may be there only after another rule has fired, or that end another key."""
+
+    def overlap(left: str, right: str) -> bool:
+        return any(left.endswith(right[:i]) for i in range(1, min(len(left), len(right)) + 1))
+
+    def may(key: str) -> bool:
+        made = any(overlap(new, key) or overlap(key, new) or new in key or key in new for _, new in rules)
+        return made or any(other != key and other.endswith(key) for other, _ in rules)
+
+    return [key for key, _ in rules if may(key)]
+
+
+def _expanded(text: Column, table: dict[str, str]) -> Column:
+    """``apply_rules`` of the keys that are in the text, or may be by then; every key ends in a dot, which is looked for."""
+    rules = longest_first(table)
+    keys = "|".join(quote(key) for key, _ in rules)
+    found = F.regexp_extract_all(text, F.lit(rf"\.(?<=({keys}))"), F.lit(1))
+    late = _set_off(rules)
+    every = rule_array(rules, whole_word=False)
+
+    def fold(keys_there: Column) -> Column:
+        there = F.filter(every, lambda r: r["key"].isin(late) | F.array_contains(keys_there, r["key"]))
+        return F.when(F.size(keys_there) > 0, apply_rules(text, there)).otherwise(text)
+
+    return let(F.array_distinct(found), fold)
+
+
 def expand_abbreviations(text: Column, language: Column) -> Column:
     """Expand built-in abbreviations: Spanish for ``es``, else English.
 
     Only the left side is bounded, so an abbreviation at a sentence end
     (``in Mar.``) is expanded too.
     """
-    spanish = rule_array(longest_first(SPANISH), whole_word=False)
-    english = rule_array(longest_first(ENGLISH), whole_word=False)
-    return apply_rules(text, F.when(language == "es", spanish).otherwise(english))
+    return let(text, lambda t: F.when(language == "es", _expanded(t, SPANISH)).otherwise(_expanded(t, ENGLISH)))

@@ -35,9 +35,17 @@ PLAIN_CHARACTERS = {
 
 
 def _replace_each(c: Column, table: dict[str, str]) -> Column:
-    for old, new in table.items():
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return c
+    """Replace single characters by fixed texts, in texts that hold one of them."""
+
+    def replaced(t: Column) -> Column:
+        for old, new in table.items():
+            t = F.replace(t, F.lit(old), F.lit(new))
+        return t
+
+    any_old = "[" + "".join(rf"\x{{{ord(old):x}}}" for old in table) + "]"
+    # Nearly all characters are below the table's or between two groups of it.
+    low, high = (f(ord(old) for old in table) for f in (min, max))
+    return let(c, lambda t: F.when(t.rlike(rf"[\x{{{low:x}}}-\x{{{high:x}}}&&{any_old}]"), replaced(t)).otherwise(t))
 
 
 def strip(c: Column) -> Column:
@@ -117,7 +125,7 @@ def normalize_punctuation(c: Column) -> Column:
     closing = rf"{run}\){SPACE}*+|\){SPACE}*+"
     c = _where(c, ["("], lambda t: F.regexp_replace(t, opening, " ("))
     c = _where(c, [")"], lambda t: F.regexp_replace(t, closing, ") "))
-    return F.replace(c, F.lit(";"), F.lit("."))
+    return _where(c, [";"], lambda t: F.replace(t, F.lit(";"), F.lit(".")))
 
 
 def normalize_whitespace(c: Column) -> Column:
